@@ -52,6 +52,11 @@ SHINGLE, BANDS, ROWS = 5, 16, 2
 SHARE = 0.8
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: the optimizer would copy it into every use, also inside lambdas."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
@@ -60,12 +65,13 @@ def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
-def anchors(words: list[str], share: float = SHARE) -> list[str]:
-    """Words, longest first, that over (1 - share) of the notice's shingles hold one of."""
+def anchors(words: list[str], share: float = SHARE, given: tuple = NOTICES) -> list[str]:
+    """Words that over (1 - share) of the notice's shingles hold one of; those of few notices, then long ones, first."""
     n = min(SHINGLE, len(words))
     left = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
     spare, found = share * len(left), []
-    for w in sorted(set(words), key=lambda w: (w in {"license", "licensed", "software", "version", "public"}, -len(w), w)):
+    common = {w: sum(w in _words(text) for _, text in given) for w in set(words)}
+    for w in sorted(common, key=lambda w: (common[w], -len(w), w)):
         if len(left) < spare:
             break
         if any(w in s for s in left):
@@ -80,8 +86,12 @@ def shingles_of(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) >= SHINGLE, cut).otherwise(whole))
 
 
-def bands_of(shingles: Column) -> Column:
-    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
+def hashes_of(shingles: Column) -> Column:
+    return F.transform(shingles, lambda s: F.xxhash64(s))
+
+
+def bands_of(hashes: Column) -> Column:
+    """Keys of the bands of MinHash values: the k-th value is the least of the hashes, hashed again with k."""
 
     def least_of(k: int) -> Column:
         return F.array_min(F.transform(hashes, lambda h: F.xxhash64(F.lit(k), h)))
@@ -93,7 +103,9 @@ def bands_of(shingles: Column) -> Column:
 def notices(spark: SparkSession, given: tuple = NOTICES) -> DataFrame:
     """notice, license_id, m (words), shingles, bands: a constant table."""
     table = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(given)], "notice int, license_id string, notice_text string")
-    return table.withColumn("w", words_of(F.col("notice_text"))).withColumn("m", F.size("w")).withColumn("wanted", shingles_of(F.col("w"))).withColumn("bands", bands_of(F.col("wanted"))).select("notice", "license_id", "m", "wanted", "bands")
+    table = settled(settled(table, "w", words_of(F.col("notice_text"))), "wanted", shingles_of(F.col("w")))
+    table = settled(table, "hashes", hashes_of(F.col("wanted")))
+    return table.select("notice", "license_id", F.size("w").alias("m"), "wanted", bands_of(F.col("hashes")).alias("bands"))
 
 
 def _starts(m: int, words: list[str]) -> Column:
@@ -110,15 +122,18 @@ def license_matches(docs: DataFrame, given: tuple = NOTICES, share: float = SHAR
     ship(spark)
     by_length: dict[int, set[str]] = {}
     for _, text in given:
-        by_length.setdefault(len(_words(text)), set()).update(anchors(_words(text), share))
+        by_length.setdefault(len(_words(text)), set()).update(anchors(_words(text), share, given))
     every = sorted(set().union(*by_length.values()))
-    gate = "|".join(re.escape(a) for a in every)
+    gate = "(?<![\\p{L}\\p{N}])(" + "|".join(re.escape(a) for a in every) + ")(?![\\p{L}\\p{N}])"
     # a cheap look at the text before it is cut into words: an anchor must be in it somewhere
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.lower("text").rlike(gate)).select("id", words_of(F.col("text")).alias("w"))
-    hits = rows.withColumn("hit", F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_contains(F.array(*[F.lit(a) for a in every]), F.element_at("w", i)))).where(F.size("hit") > 0)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.lower("text").rlike(gate))
+    rows = settled(rows, "w", words_of(F.col("text"))).select("id", "w")
+    hits = settled(rows, "hit", F.filter(F.transform(F.col("w"), lambda w, i: F.when(w.isin(every), i + 1)), lambda i: i.isNotNull())).where(F.size("hit") > 0)
     starts = F.array(*[_starts(m, sorted(words)) for m, words in sorted(by_length.items())])
-    windows = hits.withColumn("at", F.explode(F.flatten(starts))).select("id", F.col("at.m").alias("m"), F.col("at.first").alias("first"), F.slice("w", F.col("at.first"), F.col("at.m")).alias("win"))
-    windows = windows.withColumn("shingles", shingles_of(F.col("win"))).select("id", "m", "first", "shingles", F.explode(bands_of(F.col("shingles"))).alias("band"))
+    windows = hits.withColumn("at", F.explode(F.flatten(starts))).select("id", "w", F.col("at.m").alias("m"), F.col("at.first").alias("first"))
+    windows = settled(windows, "win", F.slice("w", F.col("first"), F.col("m"))).select("id", "m", "first", "win")
+    windows = settled(windows, "shingles", shingles_of(F.col("win"))).select("id", "m", "first", "shingles")
+    windows = settled(windows, "hashes", hashes_of(F.col("shingles"))).withColumn("band", F.explode(bands_of(F.col("hashes")))).select("id", "m", "first", "shingles", "band")
     wanted = F.broadcast(notices(spark, given).withColumn("band", F.explode("bands")).select("notice", "license_id", "m", "wanted", "band"))
     # the band's index is part of its hash, so equal keys are equal bands
     met = windows.join(wanted, ["m", "band"])
