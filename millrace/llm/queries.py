@@ -13,6 +13,7 @@ from .hmm_lm import language_scores
 from .license_scan import license_matches
 from .mixing import mix_sizes
 from .near_dedup import near_duplicates
+from .oracles import ORACLES
 from .quality import quality_scores
 from .sharding import shard_documents
 from .token_counts import token_counts
@@ -75,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
