@@ -1,0 +1,220 @@
+"""The block code as a small helper of Arrow functions: any legal block decodes; encoding is one greedy pass.
+
+A block is a zero byte, the decoded length (0: the bytes as they are) and operations: literals, repeats of the last
+offset, and copies. Blocks that coding does not shorten hold the bytes as they are.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MAX_BLOCK = 8 << 20
+
+
+class BlockError(ValueError):
+    """corrupt, too large or unsupported, as `kind`."""
+
+    def __init__(self, kind: str):
+        super().__init__(kind)
+        self.kind = kind
+
+
+def read_uvarint(b: bytes, at: int) -> tuple[int, int]:
+    value = 0
+    for i in range(10):
+        if at + i >= len(b):
+            raise BlockError("corrupt")
+        value |= (b[at + i] & 127) << 7 * i
+        if b[at + i] < 128:
+            if value >= 1 << 64:
+                raise BlockError("corrupt")
+            return value, at + i + 1
+    raise BlockError("corrupt")
+
+
+def write_uvarint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def header(b: bytes) -> tuple[str, int, int]:
+    """(kind, decoded length, where the body begins): literal, coded or empty."""
+    if not b or b[0]:
+        raise BlockError("corrupt")
+    if len(b) == 1:
+        return "empty", 0, 1
+    size, at = read_uvarint(b, 1)
+    if size >= 1 << 24:
+        raise BlockError("unsupported")
+    if size > MAX_BLOCK:
+        raise BlockError("too large")
+    if at == len(b) or 0 < size < len(b) - at:
+        raise BlockError("corrupt")
+    return ("coded", size, at) if size else ("literal", len(b) - at, at)
+
+
+def expand(b: bytes, at: int, size: int) -> bytes:
+    """Runs a body's operations."""
+    out, last, end = bytearray(), 1, len(b)
+
+    def number(width: int) -> int:
+        nonlocal at
+        if at + width > end:
+            raise BlockError("corrupt")
+        at += width
+        return int.from_bytes(b[at - width : at], "little")
+
+    while at < end:
+        tag, lits, length = b[at], 0, 0
+        kind = tag & 3
+        if kind == 0:
+            at += 1
+            n = tag >> 3
+            n = n + 1 if n < 29 else 30 + number(n - 28)
+            lits, length = (0, n) if tag & 4 else (n, 0)
+        elif kind == 1:
+            v = number(2)
+            n, last = v >> 2 & 15, (v >> 6) + 1
+            length = n + 4 if n < 15 else 18 + number(1)
+        elif kind == 2:
+            at += 1
+            last = number(2) + 64
+            length = _long(tag >> 2, number)
+        elif tag & 4:
+            v = number(4)
+            lits, last = v >> 3 & 3, (v >> 11) + 65536
+            length = _long(v >> 5 & 63, number)
+        else:
+            v = number(3)
+            lits, length, last = (v >> 3 & 3) + 1, 4 + (v >> 5 & 7), (v >> 8 & 0xFFFF) + 64
+        if lits:
+            if at + lits > end or len(out) + lits > size:
+                raise BlockError("corrupt")
+            out += b[at : at + lits]
+            at += lits
+        if length:
+            if last > len(out) or len(out) + length > size:
+                raise BlockError("corrupt")
+            start = len(out) - last
+            if last >= length:
+                out += out[start : start + length]
+            else:
+                out += (bytes(out[start:]) * (length // last + 1))[:length]
+    if len(out) != size:
+        raise BlockError("corrupt")
+    return bytes(out)
+
+
+def _long(n: int, number) -> int:
+    return n + 4 if n <= 60 else 64 + number(n - 60)
+
+
+def decode(b: bytes) -> bytes:
+    kind, size, at = header(b)
+    return b"" if kind == "empty" else b[at:] if kind == "literal" else expand(b, at, size)
+
+
+def _run(n: int, repeat: bool = False) -> bytes:
+    """The head of a run of n literals, or a repeat of the last offset."""
+    width = 0 if n <= 29 else 1 if n < 286 else 2 if n < 65566 else 3
+    code = n - 1 if not width else 28 + width
+    return bytes([code << 3 | 4 * repeat]) + (n - 30 if width else 0).to_bytes(width, "little")
+
+
+def _literals(data: bytes) -> bytes:
+    return _run(len(data)) + data
+
+
+def _copy(offset: int, n: int) -> bytes:
+    if offset <= 1024 and n <= 273:
+        v = offset - 1 << 6 | 1
+        return (v | n - 4 << 2).to_bytes(2, "little") if n < 19 else (v | 15 << 2).to_bytes(2, "little") + bytes([n - 18])
+    width = 0 if n <= 64 else 1 if n < 320 else 2 if n < 65600 else 3
+    code, more = (n - 4, b"") if not width else (60 + width, (n - 64).to_bytes(width, "little"))
+    if offset < 64:  # too long for a near copy: the rest repeats it
+        return _copy(offset, 273) + _run(n - 273, True)
+    if offset <= 65599:
+        return bytes([code << 2 | 2]) + (offset - 64).to_bytes(2, "little") + more
+    return ((offset - 65536) << 11 | code << 5 | 7).to_bytes(4, "little") + more
+
+
+def encode(data: bytes) -> bytes:
+    """A block of data (up to 8 MiB): greedy matches of six bytes or more, found by their first six."""
+    if len(data) > MAX_BLOCK:
+        raise BlockError("too large")
+    if not data:
+        return b"\0"
+    plain = b"\0\0" + data
+    if len(data) < 16:
+        return plain
+    seen: dict[bytes, int] = {}
+    out, at, done, n, missed = [], 0, 0, len(data), 0
+    while at < n - 6:
+        word = data[at : at + 6]
+        old = seen.get(word)
+        seen[word] = at
+        if old is None or at - old > 2162687:
+            missed += 1
+            at += 1 + (missed >> 6)
+            continue
+        length, missed = 6, 0
+        step = 32
+        while step and at + length < n:  # grow by halving steps
+            if at + length + step <= n and data[old + length : old + length + step] == data[at + length : at + length + step]:
+                length += step
+            else:
+                step >>= 1
+        if at > done:
+            out.append(_literals(data[done:at]))
+        out.append(_copy(at - old, length))
+        at += length
+        done = at
+    if done < n:
+        out.append(_literals(data[done:]))
+    coded = b"\0" + write_uvarint(n) + b"".join(out)
+    return coded if len(coded) < len(plain) and len(coded) - 1 - len(write_uvarint(n)) <= n else plain
+
+
+def _each(f, data: pd.Series) -> pd.Series:
+    return data.map(lambda v: None if v is None else f(bytes(v)))
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_block(data: pd.Series) -> pd.Series:
+    return _each(encode, data)
+
+
+@F.pandas_udf(T.BinaryType())
+def decode_block(block: pd.Series) -> pd.Series:
+    return _each(decode, block)
+
+
+@F.pandas_udf(T.StructType([T.StructField("value", T.BinaryType()), T.StructField("error", T.StringType())]))
+def try_decode_block(block: pd.Series) -> pd.DataFrame:
+    """The value, or the error's kind."""
+
+    def one(b):
+        try:
+            return (decode(bytes(b)), None) if b is not None else (None, None)
+        except BlockError as e:
+            return None, e.kind
+
+    return pd.DataFrame([one(b) for b in block], columns=["value", "error"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("size", T.LongType())]))
+def block_header(block: pd.Series) -> pd.DataFrame:
+    """The block's kind (or error) and decoded length."""
+
+    def one(b):
+        try:
+            return header(bytes(b))[:2] if b is not None else (None, None)
+        except BlockError as e:
+            return e.kind, None
+
+    return pd.DataFrame([one(b) for b in block], columns=["kind", "size"])
