@@ -30,14 +30,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import ship, stash
-from .words import hash_words, rows
+from .words import MARKS, rows
+from .words import hash_words as _hash_words
 
 UNIT = 8  # words; windows are 4 or 8 units long and a quarter of that apart
-RANK, SPARE = 96, 32
-COSINE = 0.42
+RANK, SPARE = 64, 16
+COSINE = 0.3
 SAME, LOOSE, ANSWER, LEAST = 0.8, 0.6, 0.8, 8
 #: A word in more than this share of passages says nothing about one of them.
 COMMON = 0.05
+#: Words of text that a partition should have before it makes a table of the vocabulary's size.
+WORDS_A_PART = 1 << 20
+
+
+def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words between white space and ASCII punctuation: a comma more or less does not hide a passage."""
+    return _hash_words(texts, breaks=MARKS)
 
 
 def _codes(vocabulary: np.ndarray):
@@ -166,13 +174,13 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def check(item: np.ndarray, answer: int, text: np.ndarray, start: int, end: int, rare: np.ndarray) -> tuple[float, float, int]:
-    """(share of the item's words in order, share of its answer's, first word) around words start to end of a text.
+def check(item: np.ndarray, answer: int, near: np.ndarray, rare: np.ndarray, rules: tuple) -> tuple[float, float, int] | None:
+    """(share of the item's words in order, share of its answer's, first word) in a stretch of text, or None if not enough.
 
-    answer: where the item's last sentence begins; rare: by word number, whether a word tells items apart.
+    answer: where the item's last sentence begins; rare: by word number, whether a word tells items apart; rules: the
+    shares that are enough: the item's alone, or the item's and the answer's together.
     """
-    lo, hi = max(0, start - len(item)), min(len(text), end + len(item))
-    near = text[lo:hi]
+    same, loose, tail = rules
     places: dict[int, list[int]] = {}
     for i in np.flatnonzero(rare[item]).tolist():
         places.setdefault(int(item[i]), []).append(i)
@@ -180,32 +188,41 @@ def check(item: np.ndarray, answer: int, text: np.ndarray, start: int, end: int,
     for j in np.flatnonzero(rare[near]).tolist():
         for i in places.get(int(near[j]), ()):
             votes[j - i] = votes.get(j - i, 0) + 1
-    if not votes:
-        return 0.0, 0.0, start
-    slack = 2 + len(item) // 8
-    best = (0.0, 0.0, start)
+    slack, best = 2 + len(item) // 8, None
     for offset in sorted(votes, key=lambda o: (-votes[o], o))[:3]:
         a = max(0, offset - slack)
         stretch = near[a : max(0, offset + len(item) + slack)]
-        found = lcs(item, stretch) / len(item), lcs(item[answer:], stretch) / max(1, len(item) - answer), lo + a
-        best = max(best, found)
+        share = lcs(item, stretch) / len(item)
+        if share >= loose:
+            end = lcs(item[answer:], stretch) / max(1, len(item) - answer)
+            if share >= same or end >= tail:
+                best = max(best or (0.0, 0.0, 0), (share, end, a))
     return best
 
 
 def _search(items: list[tuple], vectors: np.ndarray, idf: np.ndarray, project: np.ndarray, width, rules: tuple):
     """items: (number, codes, answer's start); vectors: their latent passages' unit vectors."""
-    cosine, same, loose, answer = rules
+    cosine, loose = rules[0], rules[2]
     rare = idf > 0
+    present = np.zeros(len(idf), bool)
+    sizes = np.array([len(c) for _, c, _ in items])
+    # by rarer word: the items that have it; of these words an item may miss as many as it may miss of all
+    pairs = np.unique(np.concatenate([c[rare[c]].astype(np.int64) * len(items) + k for k, (_, c, _) in enumerate(items)]))
+    holders, first_of = pairs % len(items), np.searchsorted(pairs // len(items), np.arange(len(idf) + 1))
+    need = np.maximum(2, np.ceil(np.bincount(holders, minlength=len(items)) - (1 - loose) * sizes))
+    margin = -(-sizes // UNIT)
+    step = max(1, 51200 // len(items))
+    # a window that holds half of an item's rarer words has at least this many
+    few = max(2, min(int(rare[c].sum()) for _, c, _ in items) // 2)
     project = (project * np.sqrt(len(project))).astype(np.float32)
-    long_ = np.array([len(c) > 3 * UNIT for _, c, _ in items])
     sides = [(8, np.arange(len(items))), (4, np.flatnonzero(np.array([len(c) <= 6 * UNIT for _, c, _ in items])))]
 
     def search(batches):
         for batch in batches:
             code, bounds = _unpack(batch.column(1), width)
             hits: dict[tuple[int, int], tuple] = {}
-            for piece in range(0, len(bounds) - 1, 256):
-                b = bounds[piece : piece + 257]
+            for piece in range(0, len(bounds) - 1, step):
+                b = bounds[piece : piece + step + 1]
                 words = code[b[0] : b[-1]]
                 if not len(words):
                     continue
@@ -217,6 +234,11 @@ def _search(items: list[tuple], vectors: np.ndarray, idf: np.ndarray, project: n
                 latent = _sums(project[words[hit]] * idf[words[hit]][:, None].astype(np.float32), unit_of[hit], total)
                 run = np.concatenate([np.zeros((1, latent.shape[1])), np.cumsum(latent, axis=0, dtype=np.float64)])
                 rares = np.concatenate([[0], np.cumsum(np.bincount(unit_of[hit], minlength=total))])
+                each = first_of[words[hit] + 1] - first_of[words[hit]]
+                inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                owner = holders[np.repeat(first_of[words[hit]], each) + inside]
+                held = np.bincount(np.repeat(unit_of[hit], each) * len(items) + owner, minlength=total * len(items)).reshape(total, -1)
+                held = np.concatenate([np.zeros((1, len(items)), np.int32), np.cumsum(held, axis=0, dtype=np.int32)])
                 base = np.cumsum(per) - per
                 text_of = np.repeat(np.arange(len(per)), per)
                 place = np.arange(total) - base[text_of]
@@ -225,25 +247,33 @@ def _search(items: list[tuple], vectors: np.ndarray, idf: np.ndarray, project: n
                         continue
                     begin = np.flatnonzero(place % (units // 4) == 0)
                     end = np.minimum(begin + units, base[text_of[begin]] + per[text_of[begin]])
-                    begin, end = begin[(ok := rares[end] - rares[begin] >= 2)], end[ok]
+                    begin, end = begin[(ok := rares[end] - rares[begin] >= few)], end[ok]
                     for s in range(0, len(begin), 4096):
                         p, q = begin[s : s + 4096], end[s : s + 4096]
                         v = (run[q] - run[p]).astype(np.float32)
                         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                         x, y = np.nonzero(v @ vectors[which].T >= cosine)
-                        for i, k in zip(x.tolist(), which[y].tolist(), strict=True):
+                        k = which[y]
+                        of = text_of[p[x]]
+                        from_, to = np.maximum(p[x] - margin[k], base[of]), np.minimum(q[x] + margin[k], base[of] + per[of])
+                        enough = held[to, k] - held[from_, k] >= need[k]
+                        for i, k in zip(x[enough].tolist(), k[enough].tolist(), strict=True):
                             t = int(text_of[p[i]])
                             first = int(place[p[i]]) * UNIT
                             number, item, cut = items[k]
                             row = piece + t
                             if (row, number) in hits and hits[row, number][1] >= 0.999:
                                 continue
-                            text = words[at[t] : at[t + 1]]
-                            share, tail, where = check(item, cut, text, first, first + units * UNIT, rare)
-                            if share >= same or (share >= loose and tail >= answer):
-                                found = (float(v[i] @ vectors[k]), share, tail, where)
-                                if (row, number) not in hits or found[1] > hits[row, number][1]:
-                                    hits[row, number] = found
+                            lo, hi = at[t] + max(0, first - len(item)), min(at[t + 1], at[t] + first + units * UNIT + len(item))
+                            near = words[lo:hi]
+                            present[near] = True
+                            shared = np.count_nonzero(present[item])  # no subsequence is longer
+                            present[near] = False
+                            if shared < loose * len(item):
+                                continue
+                            found = check(item, cut, near, rare, rules[1:])
+                            if found and ((row, number) not in hits or found[0] > hits[row, number][1]):
+                                hits[row, number] = (float(v[i] @ vectors[k]), found[0], found[1], int(lo - at[t]) + found[2])
             keys = sorted(hits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([n for _, n in keys], pa.int64()), *[pa.array([hits[k][i] for k in keys], pa.float64()) for i in range(3)], pa.array([hits[k][3] for k in keys], pa.int64())],
@@ -293,8 +323,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = 4096, cosin
         draw = np.random.default_rng(3).normal(size=(len(idf), RANK + SPARE)).astype(np.float32)
         z = np.zeros(draw.shape)
         mine = np.array([w.tobytes() for _, w, _ in items], object)
-        for word, row in _pairs(coded.select("codes").mapInArrow(_range(idf, draw, width), "word long, z array<double>")):
-            z[word] = row
+        # a partition's share has the vocabulary's size: partitions of little text are read together
+        parts = max(1, int(passages * 8 * UNIT) // WORDS_A_PART)
+        word, share = _total(coded.select("codes").coalesce(parts).mapInArrow(_range(idf, draw, width), "word long, z array<double>"))
+        z[word] = share
         for b in _range(idf, draw, width)([pa.RecordBatch.from_arrays([pa.array(list(mine), pa.binary())], ["codes"])]):
             for word, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 z[word] += row
@@ -311,9 +343,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = 4096, cosin
     return best.select(F.col("id").alias(id_col), "item_id", "b.cosine", "b.lcs_share", "b.answer_share", "b.first_word")
 
 
-def _pairs(parts: DataFrame):
-    """Partitions' word rows summed: at most one row per vocabulary word comes back."""
+def _total(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Partitions' word rows summed, in whole steps so that order does not matter: one row per vocabulary word at most."""
     width = RANK + SPARE
-    total = parts.groupBy("word").agg(*[F.sum(F.round(F.col("z")[i] * float(1 << 24)).cast("long")).alias(f"z{i}") for i in range(width)])
-    for r in total.toLocalIterator():
-        yield r[0], np.array(r[1:], float) / (1 << 24)
+    total = parts.groupBy("word").agg(*[F.sum(F.round(F.col("z")[i] * float(1 << 24)).cast("long")).alias(f"z{i}") for i in range(width)]).toPandas()
+    return total.word.to_numpy(), total[[f"z{i}" for i in range(width)]].to_numpy(float) / (1 << 24)

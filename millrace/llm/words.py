@@ -51,10 +51,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hash_words(texts: pa.Array, prefix: int = 0) -> tuple[np.ndarray, ...]:
+#: White space and ASCII punctuation, for comparisons that punctuation should not disturb.
+MARKS = _SPACE.copy()
+MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def hash_words(texts: pa.Array, prefix: int = 0, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, ...]:
     """(hashes, offsets): the hashes of all words, and where each text's words begin and end among them.
 
-    prefix: also return the hashes of the words' first `prefix` bytes, as a third array. Works through the column in
+    prefix: also return the hashes of the words' first `prefix` bytes, as a third array. breaks: by byte, whether it
+    stands between words. Works through the column in
     pieces of about 1 MB, cut between words, so that memory does not follow the length of a text.
     """
     raw, offsets = buffers(texts)
@@ -63,11 +69,11 @@ def hash_words(texts: pa.Array, prefix: int = 0) -> tuple[np.ndarray, ...]:
     at = 0
     while at < len(raw):
         end = min(at + _CHUNK, len(raw))
-        while end < len(raw) and not _SPACE[raw[end]]:  # a piece ends before white space
-            rest = np.flatnonzero(_SPACE[raw[end : end + _CHUNK]])
+        while end < len(raw) and not breaks[raw[end]]:  # a piece ends before white space
+            rest = np.flatnonzero(breaks[raw[end : end + _CHUNK]])
             end += int(rest[0]) if len(rest) else min(_CHUNK, len(raw) - end)
         piece = raw[at:end]
-        word = ~_SPACE[piece]
+        word = ~breaks[piece]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         inside = texts_at[np.searchsorted(texts_at, at) : np.searchsorted(texts_at, end)] - at
