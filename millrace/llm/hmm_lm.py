@@ -15,7 +15,7 @@ texts are the product of the transfer matrices of their runs.
 
 Words become numbers once: a table has each text's codes in its block's dictionary, and the dictionaries. Counts are
 summed over the dictionaries and joined back to them, so a word costs a row per block, not per occurrence, and a
-frequent word is pre-summed. A block holds about 8 MB of text, or a single longer text; its dictionary is what one
+frequent word is pre-summed. A block holds about 16 MB of text, or a single longer text; its dictionary is what one
 task collects.
 
 Null and empty texts are the end alone; null ids count as the empty string's hash for the split; repeated rows are
@@ -35,7 +35,7 @@ from .storage import ship, stash
 from .words import hash_words, rows
 
 STATES, CLASSES, RUN = 6, 1 << 14, 256
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Up to which of 64 hash shares a block of training texts reaches, and how often it is gone through.
 BLOCKS = ((0, 1, 4), (1, 2, 3), (2, 4, 2), (4, 8, 2), (8, 16, 1), (16, 32, 1), (32, 64, 1))
 _BATCH = 512
@@ -54,18 +54,19 @@ def _encode(batches):
             classes = (known % np.uint64(CLASSES)).astype(np.uint16)[code]
             code, n = code.astype(kind), len(part)
             train = ~np.array(part.column(2).to_pylist(), bool)
-            count = np.bincount(code, np.repeat(train, np.diff(at)), len(known)).astype(np.int64)
+            count = np.bincount(code, np.repeat(train, np.diff(at)), len(known)).astype(np.int32)
             cut = lambda x: [x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            learned = [c if t else None for c, t in zip(cut(classes), train.tolist(), strict=True)]  # others' follow from their codes
             size = pa.array(np.diff(at) + 1, pa.int64())
             none = lambda k, t: pa.nulls(k, t)
             wide = pa.array([kind().itemsize] * n, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([serial] * n, pa.int64()), part.column(0), part.column(2), part.column(3), size, wide, pa.array(cut(code), pa.binary()), pa.array(cut(classes), pa.binary()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64())],
+                [pa.array([serial] * n, pa.int64()), part.column(0), part.column(2), part.column(3), size, wide, pa.array(cut(code), pa.binary()), pa.array(learned, pa.binary()), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.int32())],
                 _COLUMNS,
             )
             m = len(known)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([serial] * m, pa.int64()), none(m, part.column(0).type), none(m, pa.bool_()), none(m, pa.int32()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.binary()), none(m, pa.binary()), pa.array(np.arange(m)), pa.array(known.view(np.int64)), pa.array(count)],
+                [pa.array([serial] * m, pa.int64()), none(m, part.column(0).type), none(m, pa.bool_()), none(m, pa.int32()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.binary()), none(m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array(known.view(np.int64)), pa.array(count)],
                 _COLUMNS,
             )
             serial += 1
@@ -221,16 +222,18 @@ def _score(model: dict, n: int, v: int, ends: int, inside: tuple[np.ndarray, np.
     known_share, unseen = inside  # log10 of (1 - u) / total of a class, log10 of u
 
     def score(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
-        place, count = dictionary.column("place").to_numpy(), dictionary.column("c").to_numpy()
+        place = dictionary.column("place").to_numpy()
         c = np.zeros(int(place.max()) + 1 if len(place) else 0, np.int64)
-        c[place] = count
+        class_of = np.zeros_like(c)
+        c[place], class_of[place] = dictionary.column("c").to_numpy(), dictionary.column("k").to_numpy()
         log_c = np.log10(np.maximum(c, 1))
         base_word = np.log10((c + 1) / (n + v + 1))
         base_end = np.log10((ends + 1) / (n + v + 1))
         widths = texts.column("width").to_pylist()
         classes, base, inner, known = [], [], [], []
-        for w, raw, cls in zip(widths, texts.column("codes").to_pylist(), texts.column("classes").to_pylist(), strict=True):
-            code, k = np.frombuffer(raw, np.uint16 if w == 2 else np.uint32), np.frombuffer(cls, np.uint16).astype(np.int64)
+        for w, raw in zip(widths, texts.column("codes").to_pylist(), strict=True):
+            code = np.frombuffer(raw, np.uint16 if w == 2 else np.uint32)
+            k = class_of[code]
             classes.append(np.append(k, CLASSES))
             base.append(base_word[code].sum() + base_end)
             seen = c[code] > 0
@@ -248,7 +251,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held_out"), F.pmod(F.xxhash64(id_col), F.lit(64)).cast("int").alias("share"))
-    coded = stash(given.mapInArrow(_encode, f"block long, id {kind}, held_out boolean, share int, n_tokens long, width int, codes binary, classes binary, place long, word long, n long"), "coded")
+    coded = stash(given.mapInArrow(_encode, f"block long, id {kind}, held_out boolean, share int, n_tokens long, width int, codes binary, classes binary, place int, word long, n int"), "coded")
     texts, entries = coded.where("n_tokens is not null"), coded.where("place is not null")
     counts = stash(entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     ends = texts.where("not held_out").count()
@@ -269,8 +272,8 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             model = _maximise(_gather(train.where((F.col("share") >= low) & (F.col("share") < high)), model), base)
     model = _maximise(_gather(train, model), base)
 
-    known = entries.select("block", "place", "word").join(counts, "word", "left").select(F.col("block").alias("of_block"), "place", F.coalesce("c", F.lit(0)).alias("c"))
-    scored = texts.select("block", "id", "held_out", "n_tokens", "width", "codes", "classes").groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(
+    known = entries.select("block", "place", "word").join(counts, "word", "left").select(F.col("block").alias("of_block"), "place", F.pmod(F.col("word"), F.lit(CLASSES)).cast("short").alias("k"), F.coalesce("c", F.lit(0)).alias("c"))
+    scored = texts.select("block", "id", "held_out", "n_tokens", "width", "codes").groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(
         _score(model, n, v, ends, inside), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
