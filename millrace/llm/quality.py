@@ -45,7 +45,7 @@ def features(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.nda
     """For rows (id, text, lang, source): distinct word features, shapes, metadata features (a row of keys each)."""
     text = part.column(1)
     raw, offsets = buffers(text)
-    words, at, heads = hash_words(text, prefix=5)
+    words, at, heads = hash_words(text, prefix=4)
     n = len(text)
     owner = np.repeat(np.arange(n), np.diff(at))
     keys = np.concatenate([(words % np.uint64(WORDS)).astype(np.int64), (heads % np.uint64(WORDS)).astype(np.int64)])
@@ -84,7 +84,7 @@ def _sample(batches):
 
 
 class View:
-    """A logistic classifier on sparse rows (keys with value 1) and dense ones, by averaged AdaGrad steps."""
+    """A logistic classifier on sparse rows (keys with value 1) and dense ones, fitted on the driver's bounded sample."""
 
     def __init__(self, keys: int, dense: int):
         self.w, self.d = np.zeros(keys), np.zeros(dense)
@@ -92,28 +92,22 @@ class View:
     def raw(self, sets, dense) -> np.ndarray:
         return np.array([self.w[s].sum() for s in sets]) + dense @ self.d
 
-    def fit(self, sets, dense, y, epochs: int = 12, rate: float = 0.15, decay: float = 2e-4):
-        rng = np.random.default_rng(10)
+    def fit(self, sets, dense, y, steps: int = 150, rate: float = 0.1, decay: float = 2e-4):
+        """Adam on the whole (bounded) training set; classes are weighted towards balance."""
         self.w[:], self.d[:] = 0, 0
-        gw, gd = np.full(len(self.w), 1e-2), np.full(len(self.d), 1e-2)
-        weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-        weight = np.sqrt(weight)
-        mean_w, mean_d, steps = np.zeros_like(self.w), np.zeros_like(self.d), 0
-        for epoch in range(epochs):
-            for i in rng.permutation(len(y)):
-                s, x = sets[i], dense[i]
-                g = weight[i] * (1 / (1 + np.exp(-np.clip(self.w[s].sum() + x @ self.d, -30, 30))) - y[i])
-                grad = g + decay * self.w[s]
-                gw[s] += grad * grad
-                self.w[s] -= rate * grad / np.sqrt(gw[s])
-                gx = g * x + decay * self.d
-                gd += gx * gx
-                self.d -= rate * gx / np.sqrt(gd)
-            if epoch >= epochs // 2:
-                mean_w += self.w
-                mean_d += self.d
-                steps += 1
-        self.w, self.d = mean_w / steps, mean_d / steps
+        size = np.array([len(s) for s in sets])
+        used, key = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, int), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        weight = np.sqrt(np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))) / len(y)
+        x = np.zeros(len(used) + dense.shape[1])
+        first, second = np.zeros_like(x), np.zeros_like(x)
+        for t in range(1, steps + 1):
+            raw = np.bincount(row, x[key], len(sets)) + dense @ x[len(used) :]
+            g = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y)
+            grad = np.concatenate([np.bincount(key, g[row], len(used)), dense.T @ g]) + decay * x
+            first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
+            x -= rate * (1 - t / (steps + 1)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        self.w[used], self.d[:] = x[: len(used)], x[len(used) :]
         return self
 
 
