@@ -35,7 +35,7 @@ from .words import hash_words as _hash_words
 
 UNIT = 8  # words; windows are 4 or 8 units long and a quarter of that apart
 RANK, SPARE = 64, 16
-COSINE = 0.3
+COSINE = 0.25
 SAME, LOOSE, ANSWER, LEAST = 0.8, 0.6, 0.8, 8
 #: A word in more than this share of passages says nothing about one of them.
 COMMON = 0.05
@@ -215,7 +215,7 @@ def _search(items: list[tuple], vectors: np.ndarray, idf: np.ndarray, project: n
     # a window that holds half of an item's rarer words has at least this many
     few = max(2, min(int(rare[c].sum()) for _, c, _ in items) // 2)
     project = (project * np.sqrt(len(project))).astype(np.float32)
-    sides = [(8, np.arange(len(items))), (4, np.flatnonzero(np.array([len(c) <= 6 * UNIT for _, c, _ in items])))]
+    sides = [(8, np.flatnonzero(np.array([len(c) > 3 * UNIT for _, c, _ in items]))), (4, np.flatnonzero(np.array([len(c) <= 6 * UNIT for _, c, _ in items])))]
 
     def search(batches):
         for batch in batches:
