@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontamination import contaminated
 from millrace.llm.mixing import mix_documents
-from millrace.llm.near_dedup import near_duplicates
+from millrace.llm.near_dedup import survivors
 from millrace.llm.quality import fit_quality, score_quality
 from millrace.llm.sharding import shard_documents
 from millrace.llm.storage import stash
@@ -21,9 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays: the one with the smallest id."""
-    gone = stash(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of near-duplicates stays: the one with the smallest id, null ids last."""
+    return survivors(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

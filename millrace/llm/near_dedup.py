@@ -7,7 +7,8 @@ steps, none of which emits all pairs of a group:
    them, and an odd sketch: a bitmap in which each of 128 MinHash values flips one bit. The exclusive-or of two
    sketches is the sketch of the values in which they differ, so its population count estimates the similarity, and
    the more sharply the higher it is.
-2. Equal sets become one node (grouped minimum of ids). From here only nodes are compared.
+2. Equal sets become one node (grouped minimum of row keys: id, null last, and digest of the text). From here only nodes
+   are compared; a node's full set is made from the text of its row key, so that nodes of null ids have one too.
 3. Each band bucket with several nodes has a centre, chosen by hash and so another one in every bucket. Of its up to 20
    centres, each node is compared with the one whose sketch is nearest; the link is confirmed on the full sets.
 4. Components so far. Buckets that still hold several components are gone through tile by tile on sketches for pairs
@@ -21,8 +22,9 @@ five standard deviations below 0.85, with odds above 1 - 1e-6. No link below the
 Words are runs of anything but 0x20 and 0x09-0x0D with A-Z lower-cased. With fewer than five words the whole sequence is
 one shingle. Null, empty and blank texts have no shingles and are linked with nothing. Shingles are compared as 64-bit
 hashes. A text's shingles are all used, however long it is. Rows with equal ids count as one node when their texts are
-equal and share their component when not; a null id has a null component unless its text has copies with ids. Empty
-tables give an empty result; other columns are ignored.
+equal and share their component when not; a null id has a null component unless its text is linked to texts with ids.
+Empty tables give an empty result; other columns are ignored. `survivors` keeps one row of each component, and all rows
+without shingles.
 """
 
 from __future__ import annotations
@@ -102,7 +104,7 @@ def _signatures(batches):
                 bands.append(b)
                 sketches.append(k)
                 ids.append(i)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n", "g", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "t", "n", "g", "bands", "sketch"])
 
 
 def _sets(batches):
@@ -206,15 +208,22 @@ def _pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int):
     return np.argwhere(100 * shared >= percent * (nl[:, None] + nr[None, :] - shared)).tolist()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable by links, its own included), kept (it is its own component's id)."""
+def _key(id_col: str, text_col: str) -> list:
+    """A row's key: its id and t, its text's digest. Rows with equal keys are repeats."""
+    return [F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("t")]
+
+
+def _labelled(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, t, n, component_id and least_t (id and t of the component's least row; a null id is the greatest) of every row."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signs = stash(texts.mapInArrow(_signatures, f"id {kind}, n long, g binary, bands array<long>, sketch array<long>"), "signatures")
+    row_id, digest = _key(id_col, text_col)
+    texts = docs.select(row_id, F.col(text_col).alias("text"), digest)
+    signs = stash(texts.mapInArrow(_signatures, f"id {kind}, t binary, n long, g binary, bands array<long>, sketch array<long>"), "signatures")
     some = signs.where("n > 0")
-    nodes = stash(some.groupBy("g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    key = F.struct(F.col("id").isNull().alias("lost"), "id", "t")
+    nodes = stash(some.groupBy("g").agg(F.min(key).alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     sketches = nodes.select("g", "n", "sketch")
 
     bands = stash(nodes.select(F.col("g").alias("node"), F.explode("bands").alias("bucket")), "bands")
@@ -227,8 +236,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     best = stash(near.groupBy("node").agg(F.min_by("centre", F.struct("differ", "centre")).alias("centre")), "best")
 
     # the full sets of nodes in such buckets, from one text of each
-    wanted = filled.select(F.col("node").alias("g")).distinct().join(nodes.select("g", "id"), "g").select("id").where("id is not null").distinct()
-    distinct_sets = texts.join(wanted, "id", "left_semi").select("text").mapInArrow(_sets, "g binary, shingles binary").join(nodes.select(F.col("g")), "g", "left_semi")
+    wanted = filled.select(F.col("node").alias("g")).distinct().join(nodes.select("g", "key.id", "key.t"), "g").select("id", "t").alias("wanted")
+    given = texts.alias("given").join(wanted, F.col("given.id").eqNullSafe(F.col("wanted.id")) & (F.col("given.t") == F.col("wanted.t")), "left_semi")
+    distinct_sets = given.select("text").mapInArrow(_sets, "g binary, shingles binary").join(nodes.select(F.col("g")), "g", "left_semi")
     sets = stash(distinct_sets.groupBy("g").agg(F.first("shingles").alias("shingles")).withColumnRenamed("g", "node"), "sets")
 
     salt = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -248,9 +258,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     second = open_.join(sets, "node").groupBy("bucket", "ti", "tj").applyInArrow(_forest(percent), "a binary, b binary")
 
     roots = components(first.union(second))
-    named = nodes.select("g", "id").join(roots, nodes["g"] == roots["node"], "left").select("g", "id", F.coalesce("root", "g").alias("root"))
-    label = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = named.join(label, "root").select("g", "component_id")
-    out = signs.select("id", "n", "g").join(labels, "g", "left")
+    named = nodes.select("g", "key").join(roots, nodes["g"] == roots["node"], "left").select("g", "key", F.coalesce("root", "g").alias("root"))
+    label = named.groupBy("root").agg(F.min("key").alias("least"))
+    labels = named.join(label, "root").select("g", F.col("least.id").alias("component_id"), F.col("least.t").alias("least_t"))
+    return signs.select("id", "t", "n", "g").join(labels, "g", "left")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable by links, its own included), kept (it is its own component's id)."""
+    out = _labelled(docs, percent, id_col, text_col)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def survivors(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, its least by id (null last) and text digest, and all rows without shingles."""
+    least = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("least_t"))
+    rows = _labelled(docs, percent, id_col, text_col).where("n > 0").groupBy("id", "t").agg(F.first(least).alias("least"), F.count(F.lit(1)).alias("m"))
+    marked = stash(rows.where("not least or m > 1").select("id", "t", "least"), "near-copies").alias("marked")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(id_col, text_col)).alias("keyed")
+    same = F.col("keyed.id").eqNullSafe(F.col("marked.id")) & (F.col("keyed.t") == F.col("marked.t"))
+    kept = keyed.join(marked, same, "left_anti").select("row")
+    repeated = marked.where("least").alias("marked")
+    if repeated.limit(1).count():  # of repeats one stays, by a grouped minimum that begins in each task
+        kept = kept.union(keyed.join(repeated, same, "left_semi").groupBy("id", "t").agg(F.min("row").alias("row")).select("row"))
+    return kept.select("row.*")

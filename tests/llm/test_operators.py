@@ -228,6 +228,22 @@ def test_near_duplicates_group(spark, monkeypatch):
     assert [got[k].component_id for k in range(len(docs))] == root
 
 
+def test_near_duplicates_null_ids(spark):
+    """Near copies whose ids are null have their links, may be centres and bridges, and leave one row of each component."""
+    base = [f"b{i}" for i in range(200)]
+    text = lambda *at: " ".join("e" + w if i in at else w for i, w in enumerate(base))
+    alone = " ".join(f"l{i}" for i in range(50))
+    # 1 and 2 are linked only through a null id
+    docs = [(1, text()), (None, text(50, 100)), (2, text(50, 100, 150, 180)), (2, text(50, 100, 150, 180)), (None, alone), (None, alone), (None, alone + " x"), (3, "other words of one repeated row"), (3, "other words of one repeated row"), (None, " "), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, row long")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 0, -1), (-1, 0, -1), (-1, 46, -1), (-1, 46, -1), (-1, 47, -1), (-1, 196, 1), (1, 196, 1), (2, 196, 1), (2, 196, 1), (3, 2, 3), (3, 2, 3)]
+    kept = near_dedup.survivors(docs)
+    rows = sorted(r.row for r in kept.collect())
+    assert kept.columns == docs.columns and rows[0] == 0 and rows[1] in (4, 6) and rows[2:] == [7, 9, 10]
+    assert near_dedup.survivors(docs.limit(0)).count() == 0
+
+
 # 7
 def test_mixing(spark, odd, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source").union(odd.withColumn("doc_id", F.col("doc_id") + 10**6).select("doc_id", "text", "source"))
