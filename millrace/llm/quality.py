@@ -2,7 +2,8 @@
 
 A document is good when its label says quality 1 and toxic 0. Two logistic classifiers see different views of it:
 
-* text: which words (hashed) and word beginnings it has, how it is punctuated, and how often it repeats itself;
+* text: which words (hashed) and word beginnings of three to five characters it has, which beginnings reach which shares
+  of its words, how it is punctuated, and how often it repeats itself;
 * metadata: language, source and length, and the pairs of language and source with length.
 
 They are fitted on a bounded sample of labelled rows (`labelled`: those whose ids have the smallest hashes). In each round
@@ -31,6 +32,10 @@ from .words import buffers, hash_words, mix, rows
 
 WORDS, META = 1 << 18, 1 << 14
 SHAPES = 12
+#: Calibrated log odds from which a view labels rows for the other.
+SURE = np.log(0.99 / 0.01)
+#: Characters of word beginnings, the least share of a text's words that counts, and steps of half an octave from there.
+HEADS, LEAST_SHARE, STEPS = (3, 4, 5), 1 / 256, 8
 LABELLED, POOL, ROUNDS, SHARE = 8000, 4000, 3, 0.05
 
 
@@ -45,11 +50,21 @@ def features(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.nda
     """For rows (id, text, lang, source): distinct word features, shapes, metadata features (a row of keys each)."""
     text = part.column(1)
     raw, offsets = buffers(text)
-    words, at, heads = hash_words(text, prefix=4)
+    words, at, heads = hash_words(text, prefix=HEADS)
     n = len(text)
     owner = np.repeat(np.arange(n), np.diff(at))
-    keys = np.concatenate([(words % np.uint64(WORDS)).astype(np.int64), (heads % np.uint64(WORDS)).astype(np.int64)])
-    both = np.unique(np.concatenate([owner, owner]) * WORDS + keys)
+    found = [owner * WORDS + (words % np.uint64(WORDS)).astype(np.int64)]
+    for head in heads:
+        pairs, times = np.unique(owner * WORDS + (head % np.uint64(WORDS)).astype(np.int64), return_counts=True)
+        found.append(pairs)
+        # a beginning used more than once also has a key for each step that its share of the words reaches
+        often = np.flatnonzero((times > 1) & (times >= LEAST_SHARE * np.diff(at)[pairs // WORDS]))
+        pairs, times = pairs[often], times[often]
+        reached = np.minimum(2 * np.log2(times / (LEAST_SHARE * np.diff(at)[pairs // WORDS])) + 1e-9, STEPS - 1).astype(np.int64) + 1
+        step = np.arange(reached.sum()) - np.repeat(np.cumsum(reached) - reached, reached)
+        pairs = np.repeat(pairs, reached)
+        found.append(pairs // WORDS * WORDS + (mix(((pairs % WORDS) * STEPS + step).astype(np.uint64), 57) % np.uint64(WORDS)).astype(np.int64))
+    both = np.unique(np.concatenate(found))
     bounds = np.searchsorted(both, np.arange(n + 1) * WORDS)
     sets = [both[a:b] % WORDS for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
@@ -92,19 +107,26 @@ class View:
     def raw(self, sets, dense) -> np.ndarray:
         return np.array([self.w[s].sum() for s in sets]) + dense @ self.d
 
-    def fit(self, sets, dense, y, steps: int = 150, rate: float = 0.1, decay: float = 2e-4):
+    def fit(self, sets, dense, y, steps: int = 400, rate: float = 0.1, decay: float = 2e-4):
         """Adam on the whole (bounded) training set; classes are weighted towards balance."""
         self.w[:], self.d[:] = 0, 0
-        size = np.array([len(s) for s in sets])
-        used, key = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, int), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), size)
+        seen = np.zeros(len(self.w), bool)
+        for s in sets:
+            seen[s] = True
+        used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)
+        # rows are gone through in pieces, so that the driver holds four bytes a key
+        pieces = [(i, place[np.concatenate(sets[i : i + 1024])], np.array([len(s) for s in sets[i : i + 1024]])) for i in range(0, len(sets), 1024)]
         weight = np.sqrt(np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))) / len(y)
         x = np.zeros(len(used) + dense.shape[1])
         first, second = np.zeros_like(x), np.zeros_like(x)
         for t in range(1, steps + 1):
-            raw = np.bincount(row, x[key], len(sets)) + dense @ x[len(used) :]
-            g = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y)
-            grad = np.concatenate([np.bincount(key, g[row], len(used)), dense.T @ g]) + decay * x
+            g, words = np.zeros(len(sets)), np.zeros(len(used))
+            for i, key, size in pieces:
+                at, row = slice(i, i + len(size)), np.repeat(np.arange(len(size)), size)
+                raw = np.bincount(row, x[key], len(size)) + dense[at] @ x[len(used) :]
+                g[at] = weight[at] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[at])
+                words += np.bincount(key, g[at][row], len(used))
+            grad = np.concatenate([words, dense.T @ g]) + decay * x
             first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
             x -= rate * (1 - t / (steps + 1)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         self.w[used], self.d[:] = x[: len(used)], x[len(used) :]
@@ -130,8 +152,11 @@ def co_train(labelled: tuple, pool: tuple, rounds: int = ROUNDS, share: float =
     hold = np.arange(len(y)) % 4 == 0  # for calibration and combination
     none = np.ones((len(y), 1))
     # words that no class prefers beyond chance are left out
-    n = np.bincount(np.concatenate([s for s, h in zip(sets, hold, strict=True) if not h] or [np.zeros(0, int)]), minlength=WORDS)
-    bad = np.bincount(np.concatenate([s for s, h, v in zip(sets, hold, y, strict=True) if not h and v < 0.5] or [np.zeros(0, int)]), minlength=WORDS)
+    n, bad = np.zeros(WORDS, np.int64), np.zeros(WORDS, np.int64)
+    for s, h, v in zip(sets, hold, y, strict=True):
+        if not h:
+            n[s] += 1  # a row's keys are distinct
+            bad[s] += v < 0.5
     rate = (y[~hold] < 0.5).mean()
     z = (bad - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9))
     useful = (n >= 4) & (np.abs(z) >= 3)
@@ -143,19 +168,23 @@ def co_train(labelled: tuple, pool: tuple, rounds: int = ROUNDS, share: float =
     extra: dict[str, list[tuple[int, float]]] = {"text": [], "page": []}
     free = np.ones(len(pool_sets), bool)
     pool_none = np.ones((len(pool_sets), 1))
+    held = np.flatnonzero(hold)
+    own = lambda: (text.raw([sets[i] for i in held], shapes[held]), page.raw(keys(meta[held]), none[held]))
     for turn in range(rounds + 1):
         a, b = extra["text"], extra["page"]
         text.fit([sets[i] for i in train] + [pool_sets[i] for i, _ in a], np.concatenate([shapes[train], pool[1][[i for i, _ in a]].reshape(-1, SHAPES)]), np.concatenate([y[train], [v for _, v in a]]))
         page.fit(keys(meta[train]) + [pool[2][i] for i, _ in b], np.ones((len(train) + len(b), 1)), np.concatenate([y[train], [v for _, v in b]]))
         if turn == rounds or not free.any():
             break
-        for view, other, x in ((text, "page", text.raw(pool_sets, pool[1])), (page, "text", page.raw(keys(pool[2]), pool_none))):
+        # a view is sure where its odds, calibrated on the rows kept out, are: metadata that cannot tell a kind gives no labels of it
+        for other, seen, x in zip(("page", "text"), own(), (text.raw(pool_sets, pool[1]), page.raw(keys(pool[2]), pool_none)), strict=True):
+            slope, shift = _logistic(seen[:, None], y[held])
+            x = slope * x + shift
             for value, order in ((0.0, np.argsort(x, kind="stable")), (1.0, np.argsort(-x, kind="stable"))):
-                sure = [i for i in order if free[i] and (x[i] < -2 if value == 0 else x[i] > 2)][: int(share * len(x) * (y.mean() if value else 1 - y.mean())) + 1]
+                sure = [i for i in order if free[i] and (x[i] < -SURE if value == 0 else x[i] > SURE)][: int(share * len(x) * (y.mean() if value else 1 - y.mean())) + 1]
                 extra[other] += [(int(i), value) for i in sure]
                 free[sure] = False
-    held = np.flatnonzero(hold)
-    raw = np.stack([text.raw([sets[i] for i in held], shapes[held]), page.raw(keys(meta[held]), none[held])], axis=1)
+    raw = np.stack(own(), axis=1)
     platt = [_logistic(raw[:, [k]], y[held]) for k in range(2)]
     odds = np.stack([raw[:, k] * platt[k][0] + platt[k][1] for k in range(2)], axis=1)
     joint = _logistic(odds, y[held])
@@ -200,7 +229,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
     found = found.drop_duplicates("id").sort_values("id", ignore_index=True)
 
     def rows_of(f):
-        return [np.frombuffer(w, np.int32).astype(np.int64) for w in f.words], np.array(f.shapes.tolist(), float).reshape(-1, SHAPES), np.array(f.meta.tolist(), np.int64).reshape(-1, 6)
+        return [np.frombuffer(w, np.int32) for w in f.words], np.array(f.shapes.tolist(), float).reshape(-1, SHAPES), np.array(f.meta.tolist(), np.int64).reshape(-1, 6)
 
     mine = found[found.good.notna()]
     y = mine.good.to_numpy(float)

@@ -56,11 +56,11 @@ MARKS = _SPACE.copy()
 MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-def hash_words(texts: pa.Array, prefix: int = 0, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, ...]:
+def hash_words(texts: pa.Array, prefix: tuple[int, ...] = (), breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, ...]:
     """(hashes, offsets): the hashes of all words, and where each text's words begin and end among them.
 
-    prefix: also return the hashes of the words' first `prefix` bytes, as a third array. breaks: by byte, whether it
-    stands between words. Works through the column in
+    prefix: also return the hashes of the words' first so many characters, a row for each length, as a third array.
+    breaks: by byte, whether it stands between words. Works through the column in
     pieces of about 1 MB, cut between words, so that memory does not follow the length of a text.
     """
     raw, offsets = buffers(texts)
@@ -87,13 +87,14 @@ def hash_words(texts: pa.Array, prefix: int = 0, breaks: np.ndarray = _SPACE) ->
             out.append(mix(np.add.reduceat(value, first), 1))
             starts.append(place[first] + at)
             if prefix:
-                value[position >= prefix] = 0
-                heads.append(mix(np.add.reduceat(value, first), 2))
+                char = np.cumsum((piece[place] & 0xC0) != 0x80)
+                char -= np.repeat(char[first], length)
+                heads.append(np.stack([mix(np.add.reduceat(np.where(char < p, value, np.uint64(0)), first), 2 + p) for p in prefix]))
         at = end
     hashes = np.concatenate(out) if out else np.zeros(0, np.uint64)
     begin = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     bounds = np.searchsorted(begin, offsets)
-    return (hashes, bounds, np.concatenate(heads) if heads else np.zeros(0, np.uint64)) if prefix else (hashes, bounds)
+    return (hashes, bounds, np.concatenate(heads, axis=1) if heads else np.zeros((len(prefix), 0), np.uint64)) if prefix else (hashes, bounds)
 
 
 def rows(batch: pa.RecordBatch, text: str = "text", limit: int = 4 << 20):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import chat_format, decontamination, embedding_dedup, hmm_lm, license_scan, mixing, near_dedup, quality, queries, sharding, token_counts
+from millrace.llm import words as words_module
 from millrace.llm.oracles import ORACLES
 from oracle import same
 
@@ -395,6 +396,28 @@ def test_quality(spark, odd):
     assert quality.score_quality(odd.limit(0), model).count() == 0
 
 
+def test_quality_toxic_languages(spark):
+    """Toxic documents of every language are told from the shares of word beginnings, on labels kept out of the fit."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.quality_scores(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0").withColumnRenamed("quality", "q"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    kept = collections.defaultdict(list)
+    for r in got:
+        kept[r.q, r.toxic, r.lang].append(r.kept)
+    print({k: f"{sum(v)} of {len(v)} kept" for k, v in sorted(kept.items())})
+    toxic = {k[2]: v for k, v in kept.items() if k[:2] == (1, 1)}
+    assert {"de", "en", "es", "fr"} <= set(toxic)
+    assert np.mean(sum(toxic.values(), [])) < 0.02 and all(sum(v) <= max(1, 0.1 * len(v)) for v in toxic.values())
+    assert np.mean(sum((v for k, v in kept.items() if k[:2] == (1, 0)), [])) > 0.98
+
+
+def test_word_beginnings_are_whole_characters():
+    import pyarrow as pa
+
+    words, at, heads = words_module.hash_words(pa.array(["réeux réel", "réeb ré"]), prefix=(2, 3))
+    assert len(set(heads[0].tolist())) == 1 and heads[1][0] == heads[1][1] == heads[1][2] != heads[1][3] and at.tolist() == [0, 2, 4]
+
+
 def test_co_training_labels_the_pool():
     """Two views that agree on hidden classes: pseudo-labels let the weaker view learn what few labels do not show."""
     rng = np.random.default_rng(11)
