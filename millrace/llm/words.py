@@ -24,6 +24,13 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray, counts: bool = False):
+    """The sorted distinct values, by sorting (numpy's own `unique` hashes, which is slower on such arrays); also how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return (x[first], np.diff(first, append=len(x))) if counts else x[first]
+
+
 _VALUE = mix(np.arange(256, dtype=np.uint64), 7)
 _VALUE[65:91] = _VALUE[97:123]
 _powers = np.ones(1, np.uint64)
