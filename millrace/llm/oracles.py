@@ -43,16 +43,20 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 """
 
 OP4 = """
-WITH RECURSIVE u AS (SELECT conv_id, turn, min(text) AS text, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL),
-a AS (SELECT conv_id, turn - 1 AS turn, min(text) AS text, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),
-dep(conv_id, turn, depth) AS (SELECT conv_id, turn, 0 FROM u WHERE NOT EXISTS (FROM u AS p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2) UNION ALL SELECT u.conv_id, u.turn, dep.depth + 1 FROM u JOIN dep ON u.conv_id = dep.conv_id AND u.turn = dep.turn + 2),
-c AS (SELECT u.conv_id, u.turn, u.text, u.n, a.text AS result, a.n IS NOT NULL AS answered, depth, 'c' || u.conv_id || '-' || u.turn AS id, CASE WHEN u.turn >= 2 THEN 'c' || u.conv_id || '-' || (u.turn - 2) END AS after FROM u JOIN dep USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn))
-SELECT conv_id, id AS call_id, 'answer' AS tool, depth::BIGINT AS depth, CASE WHEN after IS NOT NULL AND depth = 0 THEN 'dangling' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status, n AS repeats, length(text) > 0 AS valid,
+WITH RECURSIVE r AS (SELECT conv_id, turn, role, text, md5(coalesce(text, '')) AS digest, count(*) AS n FROM conversations GROUP BY ALL),
+k AS (SELECT *, CASE WHEN digest = min(digest) OVER (PARTITION BY conv_id, turn, role) THEN '' ELSE '~' || digest END AS other FROM r),
+u AS (SELECT conv_id, turn, text, n, 'c' || conv_id || '-' || turn || other AS id, CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS after FROM k WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text, n, 'c' || conv_id || '-' || (turn - 1) || other AS id FROM k WHERE role = 'assistant'),
+dep(conv_id, id, depth) AS (SELECT conv_id, id, 0 FROM u WHERE after IS NULL OR NOT EXISTS (FROM u AS p WHERE p.conv_id = u.conv_id AND p.id = u.after) UNION ALL SELECT u.conv_id, u.id, dep.depth + 1 FROM u JOIN dep ON u.conv_id = dep.conv_id AND u.after = dep.id),
+c AS (SELECT u.conv_id, u.turn, u.text, u.n, a.text AS result, a.n IS NOT NULL AS answered, depth, u.id, after FROM u JOIN dep USING (conv_id, id) LEFT JOIN a USING (conv_id, id)),
+lines AS (
+SELECT conv_id, turn, id AS call_id, 'answer' AS tool, depth::BIGINT AS depth, CASE WHEN after IS NOT NULL AND depth = 0 THEN 'dangling' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status, n AS repeats, coalesce(length(text) > 0, FALSE) AS valid,
 CASE WHEN text IS NULL THEN '$.prompt: not string' WHEN text = '' THEN '$.prompt: length' ELSE '' END AS errors,
 CAST(CASE WHEN after IS NULL THEN to_json({'arguments': {'prompt': text, 'turn': turn}, 'depth': depth, 'id': id, 'result': result, 'tool': 'answer'})
 ELSE to_json({'after': after, 'arguments': {'prompt': text, 'turn': turn}, 'depth': depth, 'id': id, 'result': result, 'tool': 'answer'}) END AS VARCHAR) AS json FROM c
-UNION ALL SELECT conv_id, 'c' || conv_id || '-' || turn, NULL, NULL, 'orphan', n, FALSE, '$: no call', CAST(to_json({'content': text, 'role': 'tool', 'tool_call_id': 'c' || conv_id || '-' || turn}) AS VARCHAR)
-FROM a WHERE NOT EXISTS (FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.turn)
+UNION ALL SELECT conv_id, turn, id, NULL, NULL, 'orphan', n, FALSE, '$: no call', CAST(to_json({'content': text, 'role': 'tool', 'tool_call_id': id}) AS VARCHAR) FROM a WHERE NOT EXISTS (FROM u WHERE u.conv_id = a.conv_id AND u.id = a.id)
+UNION ALL SELECT conv_id, turn, id, NULL, NULL, 'message', n, TRUE, '', CAST(to_json({'content': text, 'id': id, 'role': role}) AS VARCHAR) FROM (SELECT *, 'm' || conv_id || '-' || turn || '-' || coalesce(role, '') || other AS id FROM k WHERE role IS NULL OR role NOT IN ('user', 'assistant')))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(depth, 0), turn, call_id) AS line, * EXCLUDE (conv_id, turn) FROM lines
 """
 
 ORACLES = {"op1_license_scan": OP1, "op4_chat_format": OP4, "op6_minhash_near_dedup": OP6, "op8_embedding_near_dedup": OP8}

@@ -38,7 +38,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_tool_calls(*calls_of_turns(table(spark, sf_dir, "conversations")), ANSWER)
+    calls, results, messages = calls_of_turns(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, ANSWER, messages)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
