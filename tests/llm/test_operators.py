@@ -107,6 +107,61 @@ def test_decontamination(spark, small):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_widespread(spark, small):
+    """An item in a third of all documents, one in most passages of all, one of five words, one longer than passages, long and repeated texts."""
+    rng = np.random.default_rng(31)
+    vocabulary = [f"v{i}" for i in range(400)]
+    made = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(1, made(30)), (2, "five words make this item"), (3, made(300)), (4, made(25)), (5, None), (6, "")]
+    text = {i: t for i, t in items if t}
+    rows, want = [], set()
+    for i in range(600):
+        held = [k for k, often in ((1, i % 3 == 0), (2, i % 7 == 0), (3, i % 40 == 0), (4, i % 10 < 9)) if often]
+        rows.append((i, " ".join([made(int(rng.integers(0, 60))), *(f"{text[k]} {made(int(rng.integers(0, 9)))}" for k in held)])))
+        want |= {(i, k) for k in held}
+    rows += [(600, LONG + " " + text[1].upper()), (601, text[2]), (601, text[2]), (601, LONG), (None, "x " + text[4]), (602, None), (603, "")]
+    want |= {(600, 1), (601, 2), (None, 4)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in (*CLASHES, "item", "item_id", "digest", "row")}).repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert all(r.lcs_share == 1.0 for r in got) and {r.first_word for r in got if r.doc_id == 600} == {60_000}
+    left = decontamination.uncontaminated(docs, bench)
+    dirty = {i for i, _ in want}
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted([i for i in range(600) if i not in dirty] + [601, 602, 603])
+
+
+def test_decontamination_paraphrases(spark, small):
+    """Reworded items in real texts, against every stretch of every text."""
+    import pyarrow as pa
+
+    docs, bench = [r for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text], spark.read.parquet(f"{small}/benchmark.parquet")
+    rng, pool, rows = np.random.default_rng(32), [w for r in docs[:50] for w in r.text.split()], []
+    for n, b in enumerate(bench.collect() * 5):
+        rate, out = rng.uniform(0.05, 0.42), []
+        for w in b.text.split():
+            u = rng.random()
+            out += [] if u < rate / 2 else [pool[rng.integers(len(pool))]] if u < rate else [w]
+            out += [pool[rng.integers(len(pool))]] if rng.random() < rate / 3 else []
+        host = docs[rng.integers(len(docs))].text.split()
+        at = rng.integers(len(host) + 1)
+        rows.append((10**6 + n, " ".join(host[:at] + out + host[at:])))
+    rows += [(r.doc_id, r.text) for r in docs]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    number = decontamination._codes(np.unique(decontamination.hash_words(pa.array([b.text for b in bench.collect()]))[0]))[0]
+    code, at = number(pa.array([t for _, t in rows]))
+    want = set()
+    for b in bench.collect():
+        item = number(pa.array([b.text]))[0]
+        last = [m.end() for m in decontamination._SENTENCE.finditer(b.text.rstrip())]
+        tail = len(number(pa.array([b.text[last[-1] :]]))[0]) if last else len(item)
+        own = np.isin(np.arange(1 << 16), item)
+        want |= {(rows[i][0], b.item_id) for i in range(len(rows)) if decontamination.check(item, len(item) - tail, code[at[i] : at[i + 1]], own, (0.8, 0.6, 0.8))}
+    reworded = {x for x in want if x[0] >= 10**6}
+    assert len(reworded) > 80 and len(reworded & got) >= 0.95 * len(reworded) and len(got - want) <= 1
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -137,11 +192,35 @@ def test_chat(spark):
     assert chat_format.link_tool_calls(calls.limit(0), results.limit(0), schema).count() == 0
 
 
-def test_chat_turns(spark, small):
+def test_chat_hard_arguments(spark):
+    """Legal and illegal JSON that Python, Arrow or a plain reading trips over."""
+    deep = "[" * 5000 + "]" * 5000
+    given = {"a": '{"x": "\\ud800"}', "b": '{"x": ' + "9" * 400 + "}", "c": deep, "d": '{"x": 1.0, "y": -0.0}', "e": '{"x": 1e999}', "f": "9" * 5000, "g": None, "h": '{"\\udc00": 2}', "i": "NaN", "j": '{"x": ' + "9" * 400 + ".0}"}
+    calls = spark.createDataFrame([(1, k, "t", v, None) for k, v in given.items()], "conv_id long, call_id string, tool string, arguments string, after string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    got = {r.call_id: r for r in chat_format.link_tool_calls(calls, results, {"t": {"type": "object", "additionalProperties": False, "properties": {"x": {"type": "integer"}, "y": {"type": "number"}}}}).collect()}
+    assert sorted(r.line for r in got.values()) == list(range(1, 11))
+    assert got["a"].errors == "$.x: not integer" and json.loads(got["a"].json)["arguments"] == {"x": "\ud800"}
+    assert got["b"].valid and json.loads(got["b"].json)["arguments"] == {"x": int("9" * 400)}
+    assert got["c"].errors == "$: nested too deeply" and got["d"].valid and '"arguments":{"x":1,"y":0}' in got["d"].json
+    assert {got[k].errors for k in "efij"} == {"$: not JSON"} and got["g"].errors == "$: not object"
+    assert got["h"].errors == "$.\\udc00: unknown" and not any(got[k].valid for k in "acefghij")
+
+
+def test_chat_turns(spark, small, monkeypatch):
+    monkeypatch.setattr(chat_format, "SPAN", 2)  # many spans a conversation
     turns = spark.read.parquet(f"{small}/conversations.parquet").collect()
     users, bots = {(r.conv_id, r.turn): r for r in turns if r.role == "user"}, {(r.conv_id, r.turn - 1): r for r in turns if r.role == "assistant"}
-    got = {(r.conv_id, r.call_id): r for r in queries.op4_chat_format(spark, small).collect()}
-    assert len(got) == len(set(users) | set(bots))
+    others = [r for r in turns if r.role not in ("user", "assistant")]
+    rows = queries.op4_chat_format(spark, small).collect()
+    got = {(r.conv_id, r.call_id): r for r in rows}
+    assert len(rows) == len(got) == len(set(users) | set(bots)) + len(others) and others
+    assert all(json.loads(got[r.conv_id, f"m{r.conv_id}-{r.turn}-{r.role}"].json)["content"] == r.text for r in others)
+    lines = collections.defaultdict(list)
+    for r in rows:
+        lines[r.conv_id].append((r.line, r.depth or 0))
+    for found in lines.values():
+        assert [n for n, _ in sorted(found)] == list(range(1, len(found) + 1)) and [d for _, d in sorted(found)] == sorted(d for _, d in found)
     for (c, t), r in users.items():
         row = got[c, f"c{c}-{t}"]
         line = json.loads(row.json)
@@ -155,6 +234,26 @@ def iter_back(users, c, t):
         yield t
 
 
+def test_chat_odd_turns(spark, tmp_path):
+    """Null fields, unknown roles, repeats with equal and other texts, very long and empty texts: every text is in a line."""
+    long = LONG[:300_000]
+    rows = [(1, 0, "system", "s"), (1, 0, "system", "s"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, 1, "assistant", "r"), (1, 1, "assistant", "q"), (1, 2, "user", long), (1, 3, "tool", "t"), (1, 4, None, "n"), (2, 3, "user", ""), (2, 4, "assistant", None), (3, 7, "assistant", "x"), (4, 0, "user", None)]
+    broken = [(None, 0, "user", "p"), (1, None, "assistant", "w"), (None, None, None, None)]
+    schema = "conv_id long, turn int, role string, text string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = queries.op4_chat_format(spark, str(tmp_path)).collect()
+    assert len(found) == 10 and sum(r.repeats for r in found if r.status == "message") == 4
+    same_rows = __import__("duckdb").sql(ORACLES["op4_chat_format"].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).fetchall()
+    key = lambda x: (x[0], x[1])
+    assert sorted(map(tuple, found), key=key) == sorted(same_rows, key=key)
+    turns = spark.createDataFrame(rows + broken, schema).withColumns({c: F.lit("clash") for c in (*CLASHES, "at", "line", "call_id", "digest", "c", "level")})
+    calls, results, messages = chat_format.calls_of_turns(turns)
+    every = chat_format.link_tool_calls(calls, results, chat_format.ANSWER, messages).collect()
+    said = "\n".join(r.json for r in every)
+    assert len(every) == 13 and sum(r.line is None for r in every) == 3 and all(json.dumps(t)[1:-1] in said for _, _, _, t in rows + broken if t)
+    assert chat_format.link_tool_calls(*(x.limit(0) for x in (calls, results)), chat_format.ANSWER, messages.limit(0)).count() == 0
+
+
 # 5
 def test_sharding(spark, odd, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(odd.withColumn("doc_id", F.col("doc_id") + 10**6).select("doc_id", "text"))
@@ -192,6 +291,50 @@ def test_minimax(spark, monkeypatch, summary):
         assert max(b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)) == capacity
 
 
+def test_minimax_many_groups(spark):
+    """More groups than the summary has rows, most of them with others in a block, against a bisection over all borders."""
+    rng = np.random.default_rng(55)
+    sizes = rng.pareto(1.3, 200_000) * 400 + 8
+    sizes = np.minimum(sizes.astype(np.int64), 300_000)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    groups = spark.createDataFrame(__import__("pandas").DataFrame({"at": at[:-1], "bytes": sizes}))
+    capacity, ends = sharding.minimax_cuts(groups, 0, int(at[-1]), 24)
+
+    def greedy(c):
+        out = [0]
+        for _ in range(24):
+            out.append(int(at[np.searchsorted(at, out[-1] + c, side="right") - 1]))
+        return out[1:]
+
+    low, high = int(sizes.max()), int(at[-1])
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if greedy(mid)[-1] == at[-1] else (mid + 1, high)
+    assert (capacity, ends) == (low, greedy(low))
+
+
+def test_sharding_hot_text(spark):
+    """A third of the rows are one text, of one id, of no id and of many ids: every row has its own slot, reruns agree."""
+    n = 3000
+    rows = [(7, "hot")] * n + [(None, "hot")] * n + [(i, "hot") for i in range(n)] + [(i, f"text {i} " * (1 + i % 9)) for i in range(6 * n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard_documents(docs).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 24 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    hot = {r.shard for r in got if r.text_crc32 == zlib.crc32(b"hot")}
+    load = collections.Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+        assert r.shard_bytes > 0
+    assert len(hot) == 1 and max(load.values()) < 1.05 * sum(load.values()) / 24 + 99_000 and all(r.shard_bytes == load[r.shard] for r in got)
+    again = sharding.shard_documents(docs.repartition(7)).collect()
+    key = lambda r: (r.doc_id or -1, r.text_crc32, r.shard, r.slot)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 # 6
 def test_near_duplicates_odd(spark, odd):
     got = near_dedup.near_duplicates(odd).collect()
@@ -338,15 +481,30 @@ def test_language_model(spark, odd, small):
         t = [*words(r.text), None]
         want[r.doc_id, held(r.doc_id), len(t), sum(count[x] > 0 for x in t), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in t), 6)] += 1
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    out = [r for r in got if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    out = [r for r in got if r.held_out and (r.doc_id or 10**6) < 10**6]  # of the table, without the odd rows
+    assert out and sum(r.score for r in out) > sum(r.base_score for r in out)
     assert hmm_lm.language_scores(docs.limit(0)).count() == 0
 
 
+def test_states_stay_apart(spark, monkeypatch):
+    """Two languages in few texts, so that most blocks are empty: the states part them, and new texts gain by it."""
+    rng, models = np.random.default_rng(91), []
+    text = lambda i: " ".join(f"{'ab'[i % 2]}{k}" for k in rng.zipf(1.5, 60) % 40)
+    docs = spark.createDataFrame([(i, text(i)) for i in range(40)], "doc_id long, text string")
+    maximise = hmm_lm._maximise
+    monkeypatch.setattr(hmm_lm, "_maximise", lambda *x: models.append(maximise(*x)) or models[-1])
+    got = hmm_lm.language_scores(docs).collect()
+    emit = models[-1]["emit"]
+    assert max(np.abs(emit[:, i] - emit[:, j]).sum() for i in range(6) for j in range(i)) > 1
+    out = [r for r in got if r.held_out]
+    assert out and sum(r.score for r in out) > sum(r.base_score for r in out) + 0.1 * sum(r.n_tokens for r in out)
+
+
 def test_forward_and_expectations():
     rng = np.random.default_rng(9)
     base = np.full(hmm_lm.CLASSES + 1, 1 / (hmm_lm.CLASSES + 1))
-    model = hmm_lm._first_guess(base)
+    model = hmm_lm._first_guess(base, 0.05)
+    assert np.allclose(model["emit"].sum(axis=0), 1)
     texts = [np.append(rng.integers(0, 50, n), hmm_lm.CLASSES) for n in (0, 1, 7, 300, 511, 512, 1300)]
 
     def plain(c):
@@ -382,15 +540,12 @@ def test_quality(spark, odd):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     train = labels.where("doc_id % 3 <> 0")
     got = quality.quality_scores(docs.withColumn("good", F.lit(1)), train).join(labels.where("doc_id % 3 = 0").withColumnRenamed("quality", "q"), "doc_id").collect()
-    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
-    good = [r.kept for r in got if r.q == 1 and r.toxic == 0]
-    # in this table only English texts differ by their toxic label: the others' cannot be told from the text
-    toxic = [r.kept for r in got if r.q == 1 and r.toxic == 1 and lang[r.doc_id] == "en"]
-    poor = [r.kept for r in got if r.q == 0]
-    assert np.mean(good) > 0.98 and np.mean(toxic) < 0.02 and np.mean(poor) < 0.03
+    share = lambda *kinds: np.mean([r.kept for r in got if (r.q, r.toxic) in kinds])
+    # poor rows: 0.03 and two deviations of a share of so few
+    assert share((1, 0)) > 0.98 and share((1, 1)) < 0.02 and share((0, 0), (0, 1)) < 0.03 + 2 * math.sqrt(0.03 * 0.97 / sum(r.q == 0 for r in got))
     scored = quality.quality_scores(odd, labels.limit(0)).collect()
     assert len(scored) == len(ROWS) and all(r.kept and r.quality == 0.5 for r in scored)
-    model = quality.fit_quality(docs, labels, labelled=2000, pool=500)
+    model = quality.fit_quality(docs, labels, labelled=2000, rounds=1)
     kept = quality.score_quality(odd, model)
     assert kept.count() == len(ROWS) and kept.columns[: len(odd.columns)] == odd.columns
     assert quality.score_quality(odd.limit(0), model).count() == 0
@@ -418,21 +573,21 @@ def test_word_beginnings_are_whole_characters():
     assert len(set(heads[0].tolist())) == 1 and heads[1][0] == heads[1][1] == heads[1][2] != heads[1][3] and at.tolist() == [0, 2, 4]
 
 
-def test_co_training_labels_the_pool():
-    """Two views that agree on hidden classes: pseudo-labels let the weaker view learn what few labels do not show."""
+def test_co_training_teaches_the_other_view(spark):
+    """Words that no labelled row has: the page view's pseudo-labels, counted over all rows, teach them to the text view."""
     rng = np.random.default_rng(11)
-    n = 600
-    y = rng.integers(0, 2, n).astype(float)
-    sets = [np.unique(np.concatenate([rng.integers(1000, 4000, 5), [7 + int(v)]])) for v in y]
-    shapes = np.ones((n, quality.SHAPES)) * 0.1
-    meta = np.stack([np.where(y > 0.5, 11, 12), *[rng.integers(100, 400, n) for _ in range(5)]], axis=1)
-    part = lambda a, b: (sets[a:b], shapes[a:b], meta[a:b])
-    model = quality.co_train((*part(0, 200), y[:200]), part(200, 500))
-    table = np.zeros(quality.WORDS)
-    table[model["words"][0]] = model["words"][1]
-    raw = np.array([table[s].sum() for s in sets[500:]]) + shapes[500:] @ model["shapes"], model["meta"][meta[500:]].sum(axis=1) + model["constant"][0]
-    odds = [p[0] * x + p[1] for p, x in zip(model["platt"], raw, strict=True)]  # calibrated, as scoring uses them
-    right = [np.mean((o > 0) == (y[500:] > 0.5)) for o in odds]
-    assert min(right) > 0.95
-    joint = model["joint"][0] * odds[0] + model["joint"][1] * odds[1] + model["joint"][2]
-    assert np.mean((joint > 0) == (y[500:] > 0.5)) > 0.99
+    rows, labels = [], []
+    for i in range(1500):
+        bad, labelled = i % 2, i < 500
+        told = ["ruin", "waste"] if bad else ["craft", "study"]
+        if not labelled:
+            told = ["gloom"] * (i % 3 > 0) if bad else ["bloom"] * (i % 3 > 0)
+        text = " ".join([*told, *(f"w{k}" for k in rng.integers(0, 3000, 30))])
+        rows.append((i, text, "aa" if bad else "bb", f"s{i % 7}"))
+        if labelled:
+            labels.append((i, 1 - bad, 0))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    alone, taught = quality.fit_quality(docs, labels, rounds=0), quality.fit_quality(docs, labels)
+    asked = docs.where("doc_id >= 500 and (text like '%loom%')").withColumn("lang", F.lit("zz"))
+    right = lambda m: np.mean([(r._text_view > 0.5) == (r.doc_id % 2 == 0) for r in quality.score_quality(asked, m).collect()])
+    assert right(taught) > 0.95 > right(alone) + 0.2
