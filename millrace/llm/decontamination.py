@@ -1,22 +1,30 @@
 """Operator 3: benchmark passages in documents, by latent semantic retrieval and sequence checks.
 
 1. Words. The benchmark's words are the vocabulary; a document's words become their numbers (0: another word), written
-   once, two bytes a word. Document frequencies over passages give the inverse document frequencies.
-2. Latent space. Passages (64 words) are rows of a TF-IDF matrix A. One pass over all passages of all documents and of the
+   once, two bytes a word. Document frequencies over passages give the inverse document frequencies, positive for any word.
+2. Latent space. Passages (48 words) are rows of a TF-IDF matrix A. One pass over all passages of all documents and of the
    benchmark sums A'(A O) and O'A'(A O) for a fixed Gaussian O, per partition and then across partitions; from these the
    driver has the randomised SVD's right singular vectors (Nystroem form). Both are tables of the vocabulary's size.
-3. Candidates. Overlapping passages of 64 and of 32 words, a quarter of their length apart, are projected with the
-   singular values divided out, and compared by cosine with every benchmark passage of about their length.
-4. Checks. A candidate's words are aligned with the item on the offset on which their rarer words agree, and the longest
-   common subsequence is taken over that stretch. A document is contaminated if it holds `same` (0.8) of the item's words
-   in order, or, for paraphrases, `loose` (0.6) of them and `answer` (0.8) of the item's last sentence in order.
+3. Candidates. Passages of 48 words, 24 apart, are projected with the singular values divided out, and compared by cosine
+   with every passage (48 words at most) of every benchmark item.
+4. Checks. A document is contaminated if a stretch of it has `same` (0.8) of the item's words in order, or, for paraphrases,
+   `loose` (0.6) of them and `answer` (0.8) of the item's last sentence in order (longest common subsequences). Before any
+   subsequence is computed, two bounds rule candidates out, which lose nothing: of an item's rarest words (over half of
+   it) a stretch may lack no more than it may lack of the item, and it must hold `loose` of the item's words in some order.
+   Then every stretch of a candidate's neighbourhood that meets the bound is tried.
+
+Whole sequences are also looked up as such: an item whose words occur in a row is found by the hash of its first words and
+confirmed word by word, whatever its length and however many documents hold it. Items of fewer than `least` words are
+found in this way only, as parts of so few words occur by chance.
 
 The benchmark is a query set against all rows: it is read in blocks of `block` items, and what a task is sent (vocabulary,
-vectors) is bounded by a block. Words are compared as 64-bit hashes.
+vectors) is bounded by a block. Words lie between white space and ASCII punctuation, are lower-cased and compared as
+64-bit hashes; `first_word` counts in them.
 
-Null and empty texts hold nothing; items without words, or with fewer than `least` words (whose sequence occurs by
-chance), are left out; ties of equal items are all reported; repeated rows are merged into one result row per
-(document, item); null ids are reported as null; empty tables give an empty result; other columns are ignored.
+Null and empty texts hold nothing; items without words are left out; ties of equal items are all reported; repeated rows
+are merged into one result row per (document, item); null ids are reported as null; texts of any length are read whole;
+empty tables give an empty result; other columns are ignored. `uncontaminated` keeps rows by their texts, so rows with
+null or equal ids are judged each by its own text; its empty, null and repeated texts stay unless they hold an item.
 """
 
 from __future__ import annotations
@@ -30,15 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import ship, stash
-from .words import MARKS, rows
+from .words import MARKS, distinct, mix, rows
 from .words import hash_words as _hash_words
 
-UNIT = 8  # words; windows are 4 or 8 units long and a quarter of that apart
+WINDOW, STEP = 48, 24  # words of a passage, and from one to the next
+ANCHOR = 5  # words by which whole sequences are looked up
 RANK, SPARE = 64, 16
 COSINE = 0.25
 SAME, LOOSE, ANSWER, LEAST = 0.8, 0.6, 0.8, 8
-#: A word in more than this share of passages says nothing about one of them.
-COMMON = 0.05
+#: The share of an item's words, the rarest ones, that rule stretches out; it is over the share that may be missing.
+RAREST = 0.55
 #: Words of text that a partition should have before it makes a table of the vocabulary's size.
 WORDS_A_PART = 1 << 20
 
@@ -89,10 +98,10 @@ def _frequencies(size: int, width):
         total, seen = np.zeros(size + 1, np.int64), 0
         for batch in batches:
             code, bounds = _unpack(batch.column(0), width)
-            passage = _passages(code, bounds, 8 * UNIT)
-            seen += int((-(-np.diff(bounds) // (8 * UNIT))).sum())
+            passage = _passages(code, bounds, WINDOW)
+            seen += int((-(-np.diff(bounds) // (WINDOW))).sum())
             hit = code > 0
-            pairs = np.unique(passage[hit] * (size + 1) + code[hit])
+            pairs = distinct(passage[hit] * (size + 1) + code[hit])
             total += np.bincount(pairs % (size + 1), minlength=size + 1)
         total[0] = seen
         used = np.flatnonzero(total)
@@ -102,29 +111,19 @@ def _frequencies(size: int, width):
 
 
 def _by_passage(code, bounds, idf, words):
-    """(passage, word, tf-idf, passages) of the words with weight; rows have length 1."""
-    hit = np.flatnonzero(idf[code] > 0)
-    passage = _passages(code, bounds, words)[hit]
-    word = code[hit].astype(np.int64)
-    n = int((-(-np.diff(bounds) // words)).sum())
-    order = np.argsort(passage * len(idf) + word, kind="stable")
-    key = (passage * len(idf) + word)[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    tf = np.diff(first, append=len(key))
-    passage, word = key[first] // len(idf), key[first] % len(idf)
+    """(passage, word, tf-idf) of the words of the vocabulary, by passage; rows have length 1."""
+    hit = np.flatnonzero(code)
+    key, tf = distinct(_passages(code, bounds, words)[hit] * len(idf) + code[hit], counts=True)
+    passage, word = key // len(idf), key % len(idf)
     value = np.sqrt(tf) * idf[word]
-    norm = np.sqrt(np.bincount(passage, value**2, n))
-    return passage, word, value / norm[passage] if len(passage) else value, n
+    norm = np.sqrt(np.bincount(passage, value**2)) if len(passage) else value
+    return passage, word, (value / norm[passage] if len(passage) else value).astype(np.float32)
 
 
-def _sums(matrix: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows by key."""
-    order = np.argsort(key, kind="stable")
-    out = np.zeros((size, matrix.shape[1]), matrix.dtype)
-    if len(order):
-        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
-        out[key[order][first]] = np.add.reduceat(matrix[order], first)
-    return out
+def _runs_sum(matrix: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of rows of one (sorted) key, and the keys."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return (np.add.reduceat(matrix, first) if len(key) else matrix), key[first]
 
 
 def _range(idf: np.ndarray, draw: np.ndarray, width):
@@ -134,12 +133,17 @@ def _range(idf: np.ndarray, draw: np.ndarray, width):
         z = np.zeros(draw.shape, np.float64)
         for batch in batches:
             code, bounds = _unpack(batch.column(0), width)
-            for piece in range(0, len(bounds) - 1, 512):
-                b = bounds[piece : piece + 513]
-                passage, word, value, n = _by_passage(code[b[0] : b[-1]], b - b[0], idf, 8 * UNIT)
+            at = 0
+            while at < len(bounds) - 1:
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 18), side="right")) - 1)
+                b = bounds[at : to + 1]
+                passage, word, value = _by_passage(code[b[0] : b[-1]], b - b[0], idf, WINDOW)
                 if len(word):
-                    y = _sums(draw[word] * value[:, None].astype(np.float32), passage, n)
-                    z += _sums(y[passage] * value[:, None].astype(np.float32), word, len(idf))
+                    y, of = _runs_sum(draw[word] * value[:, None], passage)
+                    order = np.argsort(word, kind="stable")
+                    sums, used = _runs_sum(y[np.searchsorted(of, passage[order])] * value[order, None], word[order])
+                    z[used] += sums
+                at = to
         used = np.flatnonzero(np.abs(z).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(z[used]), pa.list_(pa.float64()))], ["word", "z"])
 
@@ -174,112 +178,159 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def check(item: np.ndarray, answer: int, near: np.ndarray, rare: np.ndarray, rules: tuple) -> tuple[float, float, int] | None:
-    """(share of the item's words in order, share of its answer's, first word) in a stretch of text, or None if not enough.
+def check(item: np.ndarray, answer: int, near: np.ndarray, own: np.ndarray, rules: tuple) -> tuple[float, float, int] | None:
+    """(share of the item's words in order, share of its answer's, first word) of the best stretch of near, or None.
 
-    answer: where the item's last sentence begins; rare: by word number, whether a word tells items apart; rules: the
-    shares that are enough: the item's alone, or the item's and the answer's together.
+    answer: where the item's last sentence begins; own: by word number, whether the item has the word; rules: the shares
+    that are enough: the item's alone, or the item's and the answer's together. Stretches are a half longer than the item
+    and a quarter of it apart; each that holds enough of the item's words in any order is tried.
     """
     same, loose, tail = rules
-    places: dict[int, list[int]] = {}
-    for i in np.flatnonzero(rare[item]).tolist():
-        places.setdefault(int(item[i]), []).append(i)
-    votes: dict[int, int] = {}
-    for j in np.flatnonzero(rare[near]).tolist():
-        for i in places.get(int(near[j]), ()):
-            votes[j - i] = votes.get(j - i, 0) + 1
-    slack, best = 2 + len(item) // 8, None
-    for offset in sorted(votes, key=lambda o: (-votes[o], o))[:3]:
-        a = max(0, offset - slack)
-        stretch = near[a : max(0, offset + len(item) + slack)]
+    slack = 2 + len(item) // 4
+    wide = len(item) + 2 * slack
+    met = np.concatenate([[0], np.cumsum(own[near])])
+    begin = np.arange(0, max(1, len(near) - len(item) + slack), slack)
+    held = met[np.minimum(begin + wide, len(near))] - met[begin]
+    best = None
+    for a in begin[held >= loose * len(item)].tolist():
+        stretch = near[a : a + wide]
         share = lcs(item, stretch) / len(item)
         if share >= loose:
             end = lcs(item[answer:], stretch) / max(1, len(item) - answer)
             if share >= same or end >= tail:
-                best = max(best or (0.0, 0.0, 0), (share, end, a))
-    return best
-
-
-def _search(items: list[tuple], vectors: np.ndarray, idf: np.ndarray, project: np.ndarray, width, rules: tuple):
-    """items: (number, codes, answer's start); vectors: their latent passages' unit vectors."""
+                best = max(best or (0.0, 0.0, 0), (share, end, -a))
+    return best and (best[0], best[1], -best[2])
+
+
+class Sequences:
+    """Whole items in texts: the hash of an item's first words retrieves it, the hash of all its words decides."""
+
+    _FACTOR = 0xD6E8FEB86659FD93  # odd
+
+    def __init__(self, items: list[tuple]):
+        self.items = items
+        by_length: dict[int, list[int]] = {}
+        for k, (_, c, _) in enumerate(items):
+            by_length.setdefault(min(ANCHOR, len(c)), []).append(k)
+        self.tables = []
+        for n, which in sorted(by_length.items()):
+            key = np.array([self._hashes(items[k][1], n)[0] for k in which], np.uint64)
+            order = np.argsort(key, kind="stable")
+            maybe = np.zeros(1 << 20, bool)
+            maybe[key % np.uint64(1 << 20)] = True
+            self.tables.append((n, key[order], np.array(which)[order], maybe))
+
+    def _hashes(self, code: np.ndarray, n: int) -> np.ndarray:
+        """Of the n words from each place on: a polynomial in wrapping 64-bit arithmetic."""
+        value, out = mix(code.astype(np.uint64), 71), np.zeros(max(0, len(code) - n + 1), np.uint64)
+        for i in range(n):
+            out = out * np.uint64(self._FACTOR) + value[i : i + len(out)]
+        return out
+
+    def find(self, code: np.ndarray, text_of: np.ndarray, bounds: np.ndarray):
+        """(text, item, place): the first place of each item in each text."""
+        texts, items, places = [], [], []
+        for n, key, which, maybe in self.tables:
+            h = self._hashes(code, n)
+            at = np.flatnonzero(maybe[h % np.uint64(1 << 20)])
+            lo, hi = np.searchsorted(key, h[at]), np.searchsorted(key, h[at], side="right")
+            each = hi - lo
+            k = which[np.repeat(lo, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+            texts.append(text_of[np.repeat(at, each)])
+            items.append(k)
+            places.append(np.repeat(at, each))
+        if not texts:
+            return []
+        text, item, place = (np.concatenate(x).astype(np.int64) for x in (texts, items, places))
+        fits = place + self.lengths()[item] <= bounds[text + 1]
+        text, item, place = text[fits], item[fits], place[fits]
+        out, done = [], set()
+        for t, k, p in zip(text.tolist(), item.tolist(), place.tolist(), strict=True):
+            if (t, k) not in done and np.array_equal(code[p : p + len(self.items[k][1])], self.items[k][1]):
+                done.add((t, k))
+                out.append((t, k, p))
+        return out
+
+    def lengths(self) -> np.ndarray:
+        return np.array([len(c) for _, c, _ in self.items])
+
+
+def _search(items: list[tuple], passages: tuple[np.ndarray, np.ndarray], idf: np.ndarray, project: np.ndarray, width, rules: tuple, least: int):
+    """items: (number, codes, answer's start); passages: unit vectors of the items' passages, and whose they are."""
     cosine, loose = rules[0], rules[2]
-    rare = idf > 0
-    present = np.zeros(len(idf), bool)
     sizes = np.array([len(c) for _, c, _ in items])
-    # by rarer word: the items that have it; of these words an item may miss as many as it may miss of all
-    pairs = np.unique(np.concatenate([c[rare[c]].astype(np.int64) * len(items) + k for k, (_, c, _) in enumerate(items)]))
+    # an item's rarest words, a little over what a stretch may lack of it, and how many of them it must have
+    needs, owners = np.zeros(len(items), np.int64), []
+    for k, (_, c, _) in enumerate(items):
+        order = np.argsort(-idf[c], kind="stable")
+        some = np.unique(c[order[: max(1, int(np.ceil(RAREST * len(c))))]]).astype(np.int64)
+        needs[k] = np.ceil(np.isin(c, some).sum() - (1 - loose) * len(c) - 1e-9)
+        owners.append(some * len(items) + k)
+    pairs = np.sort(np.concatenate(owners))
     holders, first_of = pairs % len(items), np.searchsorted(pairs // len(items), np.arange(len(idf) + 1))
-    need = np.maximum(2, np.ceil(np.bincount(holders, minlength=len(items)) - (1 - loose) * sizes))
-    margin = -(-sizes // UNIT)
-    step = max(1, 51200 // len(items))
-    # a window that holds half of an item's rarer words has at least this many
-    few = max(2, min(int(rare[c].sum()) for _, c, _ in items) // 2)
-    project = (project * np.sqrt(len(project))).astype(np.float32)
-    sides = [(8, np.flatnonzero(np.array([len(c) > 3 * UNIT for _, c, _ in items]))), (4, np.flatnonzero(np.array([len(c) <= 6 * UNIT for _, c, _ in items])))]
+    vectors, whose = passages[0][fit := sizes[passages[1]] >= least], passages[1][fit]
+    project = (project * np.sqrt(len(project))).astype(np.float32) * idf[:, None].astype(np.float32)
+    own, sequences = np.zeros(len(idf), bool), Sequences(items)
 
     def search(batches):
         for batch in batches:
             code, bounds = _unpack(batch.column(1), width)
             hits: dict[tuple[int, int], tuple] = {}
-            for piece in range(0, len(bounds) - 1, step):
-                b = bounds[piece : piece + step + 1]
-                words = code[b[0] : b[-1]]
-                if not len(words):
-                    continue
-                at = b - b[0]
-                per = -(-np.diff(at) // UNIT)
-                unit_of = _passages(words, at, UNIT)
-                hit = np.flatnonzero(rare[words])
-                total = int(per.sum())
-                latent = _sums(project[words[hit]] * idf[words[hit]][:, None].astype(np.float32), unit_of[hit], total)
-                run = np.concatenate([np.zeros((1, latent.shape[1])), np.cumsum(latent, axis=0, dtype=np.float64)])
-                rares = np.concatenate([[0], np.cumsum(np.bincount(unit_of[hit], minlength=total))])
-                each = first_of[words[hit] + 1] - first_of[words[hit]]
-                inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                owner = holders[np.repeat(first_of[words[hit]], each) + inside]
-                held = np.bincount(np.repeat(unit_of[hit], each) * len(items) + owner, minlength=total * len(items)).reshape(total, -1)
-                held = np.concatenate([np.zeros((1, len(items)), np.int32), np.cumsum(held, axis=0, dtype=np.int32)])
-                base = np.cumsum(per) - per
-                text_of = np.repeat(np.arange(len(per)), per)
-                place = np.arange(total) - base[text_of]
-                for units, which in sides:
-                    if not len(which):
-                        continue
-                    begin = np.flatnonzero(place % (units // 4) == 0)
-                    end = np.minimum(begin + units, base[text_of[begin]] + per[text_of[begin]])
-                    begin, end = begin[(ok := rares[end] - rares[begin] >= few)], end[ok]
-                    for s in range(0, len(begin), 4096):
-                        p, q = begin[s : s + 4096], end[s : s + 4096]
-                        v = (run[q] - run[p]).astype(np.float32)
-                        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                        x, y = np.nonzero(v @ vectors[which].T >= cosine)
-                        k = which[y]
-                        of = text_of[p[x]]
-                        from_, to = np.maximum(p[x] - margin[k], base[of]), np.minimum(q[x] + margin[k], base[of] + per[of])
-                        enough = held[to, k] - held[from_, k] >= need[k]
-                        for i, k in zip(x[enough].tolist(), k[enough].tolist(), strict=True):
-                            t = int(text_of[p[i]])
-                            first = int(place[p[i]]) * UNIT
-                            number, item, cut = items[k]
-                            row = piece + t
-                            if (row, number) in hits and hits[row, number][1] >= 0.999:
-                                continue
-                            lo, hi = at[t] + max(0, first - len(item)), min(at[t + 1], at[t] + first + units * UNIT + len(item))
-                            near = words[lo:hi]
-                            present[near] = True
-                            shared = np.count_nonzero(present[item])  # no subsequence is longer
-                            present[near] = False
-                            if shared < loose * len(item):
-                                continue
-                            found = check(item, cut, near, rare, rules[1:])
-                            if found and ((row, number) not in hits or found[0] > hits[row, number][1]):
-                                hits[row, number] = (float(v[i] @ vectors[k]), found[0], found[1], int(lo - at[t]) + found[2])
+            piece = 0
+            while piece < len(bounds) - 1:
+                to = max(piece + 1, int(np.searchsorted(bounds, bounds[piece] + (1 << 18), side="right")) - 1)
+                at = bounds[piece : to + 1]
+                words, at = code[at[0] : at[-1]], at - at[0]
+                text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                for t, k, p in sequences.find(words, text_of, at):
+                    hits[piece + t, k] = (1.0, 1.0, 1.0, p - int(at[t]))
+                _similar(words, at, piece, hits)
+                piece = to
             keys = sorted(hits)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([n for _, n in keys], pa.int64()), *[pa.array([hits[k][i] for k in keys], pa.float64()) for i in range(3)], pa.array([hits[k][3] for k in keys], pa.int64())],
+                [batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([items[k][0] for _, k in keys], pa.int64()), *[pa.array([hits[k][i] for k in keys], pa.float64()) for i in range(3)], pa.array([hits[k][3] for k in keys], pa.int64())],
                 ["id", "item", "cosine", "lcs_share", "answer_share", "first_word"],
             )
 
+    def _similar(words, at, piece, hits):
+        """Candidates by cosine among the passages of texts at `at`, and their checks."""
+        hit = np.flatnonzero(words)
+        if not len(hit) or not len(vectors):
+            return
+        per = -(-np.diff(at) // STEP)
+        unit_of = _passages(words, at, STEP)[hit]
+        sums, used = _runs_sum(project[words[hit]], unit_of)
+        latent = np.zeros((int(per.sum()) + 1, sums.shape[1]), np.float32)
+        latent[used] = sums
+        text_of = np.repeat(np.arange(len(per)), per)
+        base = np.cumsum(per) - per
+        two = np.append(text_of[1:] == text_of[:-1], False)  # a passage is a step's words and the next step's
+        latent = latent[:-1] + np.where(two[:, None], latent[1:], 0)
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        each = first_of[words[hit] + 1] - first_of[words[hit]]
+        inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        # places of rarest words, by item
+        span = len(words) + 1
+        events = np.sort(holders[np.repeat(first_of[words[hit]], each) + inside] * span + np.repeat(hit, each))
+        for s in range(0, len(latent), 4096):
+            x, y = np.nonzero(latent[s : s + 4096] @ vectors.T >= cosine)
+            x, k = x + s, whose[y]
+            t = text_of[x]
+            first = at[t] + (x - base[t]) * STEP
+            lo, hi = np.maximum(first - 2 * sizes[k], at[t]), np.minimum(first + WINDOW + 2 * sizes[k], at[t + 1])
+            enough = np.searchsorted(events, k * span + hi) - np.searchsorted(events, k * span + lo) >= needs[k]
+            for i in np.flatnonzero(enough).tolist():
+                row, item = piece + int(t[i]), int(k[i])
+                if (row, item) in hits and hits[row, item][1] >= 0.999:
+                    continue
+                _, codes, cut = items[item]
+                near = words[lo[i] : hi[i]]
+                own[codes] = True
+                found = check(codes, cut, near, own, rules[1:])
+                own[codes] = False
+                if found and ((row, item) not in hits or found[0] > hits[row, item][1]):
+                    hits[row, item] = (float(latent[x[i]] @ vectors[y[i]]), found[0], found[1], int(lo[i] - at[t[i]]) + found[2])
+
     return search
 
 
@@ -306,7 +357,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = 4096, cosin
         names = []
         for k, r in enumerate(given):
             words = own[at[k] : at[k + 1]]
-            if len(words) >= least:
+            if len(words):
                 last = [m.end() for m in _SENTENCE.finditer(r.text.rstrip(" \t\r\n\v\f"))]
                 tail = len(hash_words(pa.array([r.text[last[-1] :]]))[0]) if last else len(words)
                 items.append((k, words, len(words) - tail))
@@ -318,22 +369,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = 4096, cosin
         df = np.zeros(len(vocabulary) + 1)
         df[counted.word.to_numpy()] = counted.n.to_numpy()
         passages = max(df[0], 1)
-        idf = np.where(df <= max(COMMON * passages, 8), np.log((1 + passages) / (1 + df)), 0.0)
+        idf = np.log1p(passages / (1 + df))
         idf[0] = 0
         draw = np.random.default_rng(3).normal(size=(len(idf), RANK + SPARE)).astype(np.float32)
         z = np.zeros(draw.shape)
         mine = np.array([w.tobytes() for _, w, _ in items], object)
         # a partition's share has the vocabulary's size: partitions of little text are read together
-        parts = max(1, int(passages * 8 * UNIT) // WORDS_A_PART)
+        parts = max(1, int(passages * WINDOW) // WORDS_A_PART)
         word, share = _total(coded.select("codes").coalesce(parts).mapInArrow(_range(idf, draw, width), "word long, z array<double>"))
         z[word] = share
         for b in _range(idf, draw, width)([pa.RecordBatch.from_arrays([pa.array(list(mine), pa.binary())], ["codes"])]):
             for word, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 z[word] += row
         project = right_vectors(z, draw, RANK)
-        vectors = np.stack([(project[w] * idf[w][:, None]).sum(axis=0) for _, w, _ in items])
+        cuts = [(k, w[i : i + WINDOW]) for k, (_, w, _) in enumerate(items) for i in range(0, len(w), WINDOW)]
+        vectors = np.stack([(project[w] * idf[w][:, None]).sum(axis=0) for _, w in cuts])
         vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-        hits = coded.mapInArrow(_search(items, vectors, idf, project, width, (cosine, same, loose, answer)), schema)
+        hits = coded.mapInArrow(_search(items, (vectors, np.array([k for k, _ in cuts])), idf, project, width, (cosine, same, loose, answer), least), schema)
         label = spark.createDataFrame(names, f"item long, item_id {item_kind}")
         found.append(hits.join(F.broadcast(label), "item").drop("item"))  # a row per item of the block
     if not found:
@@ -343,6 +395,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = 4096, cosin
     return best.select(F.col("id").alias(id_col), "item_id", "b.cosine", "b.lcs_share", "b.answer_share", "b.first_word")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """docs without the rows whose texts hold a benchmark item."""
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    found = contaminated(docs.select(digest.alias("digest"), F.col(text_col).alias("text")), benchmark, id_col="digest", **kw)
+    found = stash(found.select("digest").distinct(), "leaks").alias("found")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("digest"))
+    return rows.join(found, "digest", "left_anti").select("row.*")
+
+
 def _total(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Partitions' word rows summed, in whole steps so that order does not matter: one row per vocabulary word at most."""
     width = RANK + SPARE
