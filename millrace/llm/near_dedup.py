@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import ship, stash
-from .words import hash_words, mix, rows
+from .words import distinct, hash_words, mix, rows
 
 SHINGLE, HASHES, BANDS, ROWS, BITS = 5, 128, 20, 4, 512
 PERCENT = 85
-#: Nodes on one side of a tile.
-TILE = 1024
-#: Centres with more partners than this are compared in several tasks.
-FAN = 512
+#: Nodes on one side of a tile, and partners of a centre that are compared in one task.
+TILE, FAN = 1024, 512
+#: Bytes of shingles on one side of a tile or of a centre's partners in one task; a single larger text is one of its own.
+BYTES = 16 << 20
 
 _A = mix(np.arange(HASHES, dtype=np.uint64), 11).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(HASHES, dtype=np.uint64), 12).astype(np.uint32)
@@ -72,7 +72,7 @@ def shingle_sets(texts: pa.Array):
         full = mix(full, 30)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
-            yield np.unique(full[a : b - SHINGLE + 1])
+            yield distinct(full[a : b - SHINGLE + 1])
         elif b > a:
             with np.errstate(over="ignore"):
                 yield mix(np.array([sum(int(mix(words[i : i + 1], 40 + i - a)[0]) for i in range(a, b)) + b - a & (2**64 - 1)], np.uint64), 31)
@@ -226,14 +226,14 @@ def _labelled(docs: DataFrame, percent: int, id_col: str, text_col: str) -> Data
     nodes = stash(some.groupBy("g").agg(F.min(key).alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     sketches = nodes.select("g", "n", "sketch")
 
-    bands = stash(nodes.select(F.col("g").alias("node"), F.explode("bands").alias("bucket")), "bands")
+    bands = stash(nodes.select(F.col("g").alias("node"), "n", F.explode("bands").alias("bucket")), "bands")
     centres = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node", "bucket")).alias("centre")).where("m > 1")
     filled = stash(bands.join(centres, "bucket"), "buckets")  # the buckets of several nodes
     near = filled.where("node != centre").select("centre", "node").distinct()
     near = near.join(sketches.toDF("node", "n1", "s1"), "node").join(sketches.toDF("centre", "n2", "s2"), "centre")
     differ = sum(F.bit_count(F.col("s1")[i].bitwiseXOR(F.col("s2")[i])) for i in range(BITS // 64))
     near = near.withColumn("differ", differ).where((F.col("differ") <= _limit(percent)) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
-    best = stash(near.groupBy("node").agg(F.min_by("centre", F.struct("differ", "centre")).alias("centre")), "best")
+    best = stash(near.groupBy("node").agg(F.min_by("centre", F.struct("differ", "centre")).alias("centre"), F.first("n1").alias("n")), "best")
 
     # the full sets of nodes in such buckets, from one text of each
     wanted = filled.select(F.col("node").alias("g")).distinct().join(nodes.select("g", "key.id", "key.t"), "g").select("id", "t").alias("wanted")
@@ -242,16 +242,17 @@ def _labelled(docs: DataFrame, percent: int, id_col: str, text_col: str) -> Data
     sets = stash(distinct_sets.groupBy("g").agg(F.first("shingles").alias("shingles")).withColumnRenamed("g", "node"), "sets")
 
     salt = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    fans = best.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts"))
+    shares = lambda most: F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") * 8 / BYTES)).cast("int")
+    fans = best.groupBy("centre").agg(shares(FAN).alias("parts"))
     partners = best.join(fans, "centre").select("centre", "node", salt.alias("part"))
     own = fans.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     compare = partners.union(own).join(sets, "node")
     first = stash(compare.groupBy("centre", "part").applyInArrow(_confirm(percent), "a binary, b binary"), "links")
 
     roots = components(first)
-    inside = filled.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    members = inside.join(mixed, "bucket").join(sketches.withColumnRenamed("g", "node"), "node").withColumn("t", F.pmod(F.xxhash64("node", "bucket"), F.col("tiles")).cast("int"))
+    inside = filled.select("bucket", "node", "n").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
+    mixed = inside.groupBy("bucket").agg(shares(TILE).alias("tiles"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket", "tiles")
+    members = inside.join(mixed, "bucket").join(sketches.select(F.col("g").alias("node"), "sketch"), "node").withColumn("t", F.pmod(F.xxhash64("node", "bucket"), F.col("tiles")).cast("int"))
     all_tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
     placed = members.withColumn("other", F.explode(all_tiles)).select("bucket", F.least("t", "other").alias("ti"), F.greatest("t", "other").alias("tj"), (F.col("t") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "sketch")
     open_ = stash(placed.groupBy("bucket", "ti", "tj").applyInArrow(_maybe(percent), "bucket long, ti int, tj int, side int, node binary, comp binary"), "open")
