@@ -430,11 +430,43 @@ def test_mixing(spark, odd, small):
 
 def test_mixing_weights(spark):
     docs = spark.createDataFrame([(i, "a b c d", f"s{i % 2}", float(1 + i % 4)) for i in range(4000)], "doc_id long, text string, source string, pull double")
-    got = mixing.mix(docs, weights=(1, 2), weight_col="pull").groupBy("pull", "source").agg(F.avg("_copies").alias("c")).collect()
+    got = mixing.mix(docs, weights=(1, 2), weight="pull").groupBy("pull", "source").agg(F.avg("_copies").alias("c")).collect()
     mean = {(r.source, r.pull): r.c for r in got}
     assert mean["s0", 3.0] > 1.8 * mean["s0", 1.0] and mean["s1", 4.0] > 1.5 * mean["s1", 2.0]
 
 
+def test_mixing_against_plain_sampling(spark, small):
+    """Expected copies by bisection, whole copies, and the Pareto ranks cut one by one, from the same draws."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source")
+    keys = mixing._keys(20260101, "doc_id", "text", "source")
+    rows = docs.select("doc_id", *[c.alias(k) for k, c in keys.items()]).collect()
+    got = {r.doc_id: r for r in mixing.mix_sizes(docs).collect()}
+    unequal = 0
+    for source in {r._source for r in rows}:
+        mine = [r for r in rows if r._source == source]
+        target = got[mine[0].doc_id].target
+        w = np.array([2 ** (round(8 * math.log2(math.log2(r._size + 2))) / 8) for r in mine])
+        size = np.array([r._size for r in mine], float)
+        low, high = 0.0, 3 / w.min()
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (size * np.minimum(3, mid * w)).sum() < target else (low, mid)
+        e = np.minimum(3, high * w)
+        whole = np.floor(e + 1e-12)
+        p = np.where(e - whole > 1e-9, e - whole, 0)
+        unequal += len(set(np.round(p[p > 0], 6))) > 1
+        u = np.array([r._u for r in mine])
+        z = [u[i] / (1 - u[i]) / (p[i] / (1 - p[i])) if p[i] else math.inf for i in range(len(mine))]
+        rest, copies = target - (whole * size).sum(), whole.copy()
+        for i in np.argsort(z):
+            if not p[i] or size[i] / 2 > rest:
+                break
+            copies[i] += 1
+            rest -= size[i]
+        assert [got[r.doc_id].copies for r in mine] == copies.tolist()
+    assert unequal > 3
+
+
 # 8
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 32)
