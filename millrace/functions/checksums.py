@@ -54,6 +54,30 @@ def crc32c(data: pd.Series) -> pd.Series:
     return pd.Series(got.astype("int64"), index=data.index).astype("Int64").mask(data.isna())
 
 
+def _advance(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """What checksums become after so many zero bytes: by squaring the matrix of one zero bit, a column per bit."""
+    column = np.array([CASTAGNOLI, *(1 << k for k in range(31))], np.uint32)  # what each bit becomes
+    bits, out = zeros.astype(np.int64) * 8, crc.copy()
+
+    def times(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+        y = np.zeros_like(x)
+        for k in range(32):
+            y ^= np.where(x >> np.uint32(k) & np.uint32(1), matrix[k], np.uint32(0))
+        return y
+
+    while bits.any():
+        out = np.where(bits & 1, times(column, out), out)
+        bits, column = bits >> 1, times(column, column)
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def crc32c_shift(crc: pd.Series, after: pd.Series) -> pd.Series:
+    """A block's part in the checksum of a sequence in which so many bytes come after it: the parts' xor is the whole's."""
+    got = _advance(crc.to_numpy(np.int64).astype(np.uint32), after.to_numpy(np.int64))
+    return pd.Series(got.astype("int64"), index=crc.index)
+
+
 @F.pandas_udf(T.StringType())
 def xxh3(data: pd.Series) -> pd.Series:
     """XXH3-64 with seed 0, as 16 hex digits (Spark has no unsigned type)."""

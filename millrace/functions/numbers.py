@@ -40,6 +40,20 @@ def uvarint(n) -> Column:
     return F.unhex(F.array_join(digits, ""))
 
 
+def uvarint_value(b) -> Column:
+    """The number at the beginning of BINARY; null if it does not end within it (of up to nine bytes)."""
+    digits = F.regexp_extract(F.hex(col(b)), "^((?:[89A-F].){0,8}[0-7].)", 1)
+    part = lambda i: F.conv(F.substring(digits, 2 * i + 1, 2), 16, 10).cast("long").bitwiseAND(F.lit(127))
+    value = sum((F.shiftleft(F.coalesce(part(i), F.lit(0)).cast("long"), 7 * i) for i in range(9)), F.lit(0).cast("long"))
+    return F.when(F.length(digits) > 0, value)
+
+
+def le_value(b, width: int) -> Column:
+    """The number whose low byte comes first, from BINARY of at least so many bytes."""
+    digits = F.hex(col(b))
+    return F.conv(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))]), 16, 10).cast("long")
+
+
 def zigzag(n) -> Column:
     n = col(n).cast("long")
     return F.shiftleft(n, 1).bitwiseXOR(F.shiftright(n, 63))
@@ -126,3 +140,22 @@ def le_bytes(n, width: int) -> Column:
 def chunk_header(kind: int, length) -> Column:
     """A chunk's first four bytes: its type and its length."""
     return F.concat(F.unhex(F.lit(f"{kind:02X}")), le_bytes(length, 3))
+
+
+def block_len(block) -> Column:
+    """The decoded length of a block by its header: null if it is no block (its first byte is not 0), -1 if malformed.
+
+    A block is a zero byte alone (nothing), or one, a length and a body; a length of 0 means that the body is the bytes.
+    """
+    b = col(block)
+    size, total = F.octet_length(b).cast("long"), uvarint_value(F.substring(b, 2, 10))
+    body = size - 1 - uvarint_len(total)
+    coded = F.when((total > MAX_BLOCK) | (body < 1) | (body > total), -1).otherwise(total)
+    kind = F.when(size == 1, 0).when(total.isNull(), -1).when(total == 0, F.when(body > 0, body).otherwise(-1)).otherwise(coded)
+    return F.when(F.hex(F.substring(b, 1, 1)) == "00", kind).cast("long")
+
+
+def option_errors(block_size, multiple, max_user_chunk=1 << 24) -> Column:
+    """Why a writer refuses its options: block size from 4 KiB to 8 MiB, padding from 1 to 4 MiB; null if it does not."""
+    b, p = col(block_size), col(multiple)
+    return F.when((b < 4096) | (b > MAX_BLOCK), "block size").when((p < 1) | (p > 4 << 20), "padding")

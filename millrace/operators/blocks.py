@@ -41,6 +41,50 @@ def stored_chunks(df: DataFrame, key: str, data: str, block_size: int, pad: int
     return rows.select(key, "chunk_no", "type", "length", F.concat(kinds, F.col("payload")).alias("chunk"))
 
 
+def packed_blocks(writes: DataFrame, stream: str, order: str, data: str, block_size: int, flush: bool = False) -> DataFrame:
+    """path, block_no, block: the blocks of streams that many rows are written to in order.
+
+    Blocks are full but for the last, across rows; with flush every row begins a block of its own. A stream's rows need not
+    meet: their places are running totals, and only the pieces of one block are joined.
+    """
+    rows = writes.select(F.col(stream).alias("path"), F.col(order).alias("_o"), F.coalesce(F.col(data), F.lit(b"")).alias("_d")).withColumn("_n", F.octet_length("_d").cast("long")).where("_n > 0")
+    if flush:
+        placed = running_total(rows, ["path"], "_o", F.ceil(F.col("_n") / block_size), "_first")
+        return split_blocks(placed, "_d", block_size).select("path", (F.col("_first") + F.col("block_no")).alias("block_no"), "block")
+    placed = running_total(rows, ["path"], "_o", F.col("_n"), "_at")
+    spread = placed.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("_at") / block_size), F.floor((F.col("_at") + F.col("_n") - 1) / block_size))))
+    skip = F.greatest(F.col("block_no") * block_size - F.col("_at"), F.lit(0))
+    keep = F.least((F.col("block_no") + 1) * block_size, F.col("_at") + F.col("_n")) - F.col("_at") - skip
+    spread = spread.withColumn("_skip", skip.cast("int")).withColumn("_keep", keep.cast("int"))
+    part = F.struct("_at", F.hex(F.expr("substring(_d, _skip + 1, _keep)")).alias("x"))
+    return spread.groupBy("path", "block_no").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["x"]), "")).alias("block"))
+
+
+def framed(kind: int, payload: Column) -> Column:
+    """A chunk's bytes."""
+    return F.concat(chunk_header(kind, F.octet_length(payload)), payload)
+
+
+def stream_chunks(blocks: DataFrame, block_size: int, pad: int = 1, user: DataFrame | None = None) -> DataFrame:
+    """path, chunk_no, chunk of streams of stored blocks (path, block_no, block), with user chunks among them.
+
+    user: path, block_no (the block that it comes before), id (128 to 253), payload; one per place. Numbers leave gaps.
+    """
+    body = blocks.select("path", (F.col("block_no") * 2 + 2).cast("long").alias("chunk_no"), framed(STORED, F.concat(le_bytes(mask_crc(crc32c(F.col("block"))), 4), F.col("block"))).alias("chunk"))
+    totals = blocks.groupBy("path").agg(F.sum(F.octet_length("block").cast("long")).alias("total"), F.count(F.lit(1)).alias("n"), F.max("block_no").alias("last"))
+    head = totals.select("path", F.lit(0).cast("long").alias("chunk_no"), framed(IDENTIFIER, F.unhex(F.concat(F.lit(MAGIC), F.lpad(F.hex(size_indicator(F.lit(block_size))), 2, "0")))).alias("chunk"))
+    end = totals.select("path", (F.col("last") * 2 + 4).alias("chunk_no"), framed(END, uvarint(F.col("total"))).alias("chunk"))
+    rows = head.union(body).union(end)
+    if user is not None:
+        extra = F.concat(F.unhex(F.hex(F.col("id"))), le_bytes(F.octet_length("payload"), 3), F.col("payload"))
+        rows = rows.union(user.where(F.col("id").between(0x80, 0xFD)).select("path", (F.col("block_no") * 2 + 1).cast("long"), extra))
+    if pad > 1:
+        size = rows.groupBy("path").agg(F.sum(F.octet_length("chunk").cast("long")).alias("size"), F.max("chunk_no").alias("last"))
+        fill = padding(F.col("size"), pad)
+        rows = rows.union(size.where(fill > 0).select("path", F.col("last") + 1, framed(PADDING, F.unhex(F.repeat(F.lit("00"), (fill - 4).cast("int"))))))
+    return rows
+
+
 def stream_size(size: Column, block_size: int) -> Column:
     """Bytes of a stored stream before padding."""
     return (F.when(size > 0, 10 + size + 8 * F.ceil(size / block_size)).otherwise(0) + 4 + uvarint_len(size)).cast("long")
@@ -79,8 +123,3 @@ def ranges(total: Column, offset: Column, length: Column) -> tuple[Column, Colum
     """(first, last) of offset and tail length, either of which may be null: clamped to what there is."""
     first = F.when(offset.isNotNull(), F.least(offset, total)).when(length.isNotNull(), F.greatest(total - length, F.lit(0))).otherwise(F.lit(0))
     return first, F.when(offset.isNotNull() & length.isNotNull(), F.least(total, offset + length)).otherwise(total)
-
-
-def number_streams(chunks: DataFrame, file: str, order: str) -> DataFrame:
-    """chunks with stream_no: the identifiers up to a chunk, for files that hold several streams back to back."""
-    return chunks.withColumn("stream_no", F.sum((F.col("type") == IDENTIFIER).cast("int")).over(Window.partitionBy(file).orderBy(order)) - 1)

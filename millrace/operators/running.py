@@ -1,4 +1,4 @@
-"""Running totals that no single task computes: sums per range bucket, totals over buckets, then inside each bucket."""
+"""Running totals and maxima that no single task computes: per range bucket, over buckets, then inside each bucket."""
 
 from __future__ import annotations
 
@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = 4096) -> DataFrame:
-    """df with `name`: the sum of value over the key's rows with a smaller `order` (an integer; equal ones share no order).
+def running(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[Column, str]], width: int = 4096) -> DataFrame:
+    """df with a column for each of values (name: (value, 'sum' or 'max')) over the key's rows with a smaller `order`.
 
-    A key that holds most rows is dealt out by order // width; only one row per bucket meets in the key's window.
+    `order` is a whole number; equal ones share no order. Without such rows a sum is 0 and a maximum null. A key that holds
+    most rows is dealt out by order // width; only one row per bucket meets in the key's window.
     """
-    at = F.floor(F.col(order) / width)
-    rows = df.withColumn("_b", at).withColumn("_v", value)
+    rows = df.withColumn("_b", F.floor(F.col(order) / width)).withColumns({f"_v_{n}": v for n, (v, _) in values.items()})
+    total = {"sum": F.sum, "max": F.max}
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    for k in [*keys, "_b"]:
-        base = base.withColumnRenamed(k, f"_{k}")
+    base = rows.groupBy(*keys, "_b").agg(*[total[how](f"_v_{n}").alias(f"_s_{n}") for n, (_, how) in values.items()])
+    base = base.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "_b"]], *[total[how](f"_s_{n}").over(before).alias(f"_base_{n}") for n, (_, how) in values.items()])
     inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    same = [rows[k].eqNullSafe(base[f"_{k}"]) for k in [*keys, "_b"]]
-    return rows.join(base, same).withColumn(name, F.col("_base") + F.col("_in")).select(*df.columns, name)
+    rows = rows.withColumns({f"_in_{n}": total[how](f"_v_{n}").over(inside) for n, (_, how) in values.items()})
+    joined = rows.join(base, [rows[k].eqNullSafe(base[f"_{k}"]) for k in [*keys, "_b"]])
+    zero = F.lit(0)
+    out = {n: F.coalesce(f"_base_{n}", zero) + F.coalesce(f"_in_{n}", zero) if how == "sum" else F.greatest(f"_base_{n}", f"_in_{n}") for n, (_, how) in values.items()}
+    return joined.withColumns(out).select(*[c for c in df.columns if c not in out], *out)
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = 4096) -> DataFrame:
+    """df with `name`: the sum of value over the key's rows with a smaller `order`."""
+    return running(df, keys, order, {name: (value, "sum")}, width)

@@ -94,3 +94,38 @@ def median_ratio(df: DataFrame, keys: list[str], side: str, a: str, b: str, valu
     pick = lambda v: F.max(F.when(F.col(side) == v, F.col(value)))
     runs = df.groupBy(*keys).agg(pick(a).alias("a"), pick(b).alias("b")).where(F.col("a").isNotNull() & (F.col("b") != 0))
     return runs.groupBy(*keys[:-1]).agg(F.median(F.col("a") / F.col("b")).alias("median_ratio"), F.count(F.lit(1)).alias("runs"))
+
+
+def sampled_saving(df: DataFrame, key: str, data: str, block: int = 65535, runs: int = 16, run: int = 256) -> DataFrame:
+    """key, bytes, saved: an estimate from `runs` samples of `run` bytes, evenly placed in every block, whole if short.
+
+    What a block saves is its length less its share of the samples' entropy bound. Samples are cut where the rows are, a
+    block's histogram is made from them at once.
+    """
+
+    def estimate(batches):
+        for batch in batches:
+            sizes, saved = [], []
+            for value in batch.column(1).to_pylist():
+                total = 0.0
+                for at in range(0, len(value), block):
+                    v = np.frombuffer(value, np.uint8, count=min(block, len(value) - at), offset=at)
+                    s = v if len(v) <= runs * run else np.concatenate([v[a : a + run] for a in (np.arange(runs) * (len(v) - run) // (runs - 1)).tolist()])
+                    c = np.bincount(s, minlength=256)
+                    c = c[c > 0]
+                    bits = max(0.0, len(s) * np.log2(len(s)) - float((c * np.log2(c)).sum()) - 2.5 * len(s) / 256)
+                    total += len(v) - bits * len(v) / len(s) / 8
+                sizes.append(len(value))
+                saved.append(total)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(saved, pa.float64())], ["k", "bytes", "saved"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, data).mapInArrow(estimate, f"k {kind}, bytes long, saved double").withColumnRenamed("k", key)
+
+
+def pivot_report(df: DataFrame, key: str, run: str, value: str, runs: list[str], digits: int = 6) -> DataFrame:
+    """key, n, the best of each run as a column, and geomean of the positive values."""
+    best = df.groupBy(key).pivot(run, runs).agg(F.max(value))
+    rest = df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("n"), F.exp(F.avg(F.when(F.col(value) > 0, F.log(value)))).alias("geomean"))
+    joined = best.join(rest, F.col(key).eqNullSafe(F.col("_k")))
+    return joined.select(key, "n", *[F.round(r, digits).alias(r) for r in runs], F.round("geomean", digits).alias("geomean"))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import lz, numbers
+from millrace.functions import numbers
 from millrace.functions.checksums import crc32c, xxh3
 from millrace.operators import blocks, index, statistics
-from millrace.streaming.follow import event_totals
+from millrace.sources.store import store
+from millrace.streaming.follow import event_totals, settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,7 +115,7 @@ FROM (SELECT *, octet_length(encode(coalesce(text, ''))) AS n FROM documents)) "
 @query(_PLACED.replace("WITH p", "WITH RECURSIVE p") + """, u AS (SELECT DISTINCT source, place FROM p), r(source, place) AS (SELECT source, min(place) FROM u GROUP BY source UNION ALL SELECT r.source, (SELECT min(u.place) FROM u WHERE u.source = r.source AND u.place >= r.place + 65536) FROM r WHERE r.place IS NOT NULL)
 SELECT source, place FROM r WHERE place IS NOT NULL""")
 def index_thin_documents(spark, sf_dir):
-    entries = block_offsets(spark, sf_dir).select("source", F.col("start").alias("place"))
+    entries = store(block_offsets(spark, sf_dir).select("source", F.col("start").alias("place")))
     return index.thin(entries, "source", "place", 65536)
 
 
@@ -171,15 +171,6 @@ def padding_plan_orders(spark, sf_dir):
     return rows.select("o_orderkey", "t", numbers.padding("t", 512).alias("pad"))
 
 
-_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) + 1, 2), lambda i: CAST(('0x' || substr(x, i, 2)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda v, k: xor(v >> 1, (v & 1) * 2197175160)))"
-
-
-@query(f"SELECT n_nationkey, crc, (((crc >> 15) | ((crc & 32767) << 17)) + 2726488792) & 4294967295 AS masked FROM (SELECT n_nationkey, xor({_CRC}, 4294967295::BIGINT) AS crc FROM (SELECT n_nationkey, hex(encode(n_name)) AS x FROM nation))")
-def crc32c_nation(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").withColumn("crc", crc32c(F.col("n_name").cast("binary")))
-    return rows.select("n_nationkey", "crc", numbers.mask_crc("crc").alias("masked"))
-
-
 @query()
 def checksums_documents(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", crc32c("data").alias("crc"), xxh3("data").alias("xxh3"))
@@ -194,66 +185,8 @@ def stored_streams_documents(spark, sf_dir):
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("chunk")).alias("stream_bytes"))
 
 
-_TRIP = "SELECT {key}, {text} AS back FROM {table}"
-
-
-def _round_trip(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    return df.select(*keys, lz.encode_block(F.col(text).cast("binary")).alias("b")).select(*keys, lz.decode_block("b").cast("string").alias("back"))
-
-
-@query(_TRIP.format(key="doc_id", text="text", table="documents"))
-def roundtrip_documents(spark, sf_dir):
-    return _round_trip(table(spark, sf_dir, "documents"), ["doc_id"], "text")
-
-
-@query(_TRIP.format(key="page_id", text="html", table="pages"))
-def roundtrip_pages(spark, sf_dir):
-    return _round_trip(table(spark, sf_dir, "pages"), ["page_id"], "html")
-
-
-@query(_TRIP.format(key="conv_id, turn", text="text", table="conversations"))
-def roundtrip_conversations(spark, sf_dir):
-    return _round_trip(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
-
-
-@query("SELECT doc_id, octet_length(encode(text)) AS size, TRUE AS within FROM documents")
-def decoded_len_documents(spark, sf_dir):
-    """The decoded length as blocks' headers say, and that no block is over its bound."""
-    rows = texts(spark, sf_dir).select("doc_id", "size", lz.encode_block("data").alias("b"))
-    rows = rows.withColumn("h", lz.block_header("b"))
-    return rows.select("doc_id", F.col("h.size").alias("size"), (F.octet_length("b") <= numbers.max_encoded_len("size")).alias("within"))
-
-
-@query()
-def compression_by_source(spark, sf_dir):
-    rows = texts(spark, sf_dir).select("source", "size", F.octet_length(lz.encode_block("data")).cast("long").alias("coded"))
-    return statistics.ratio_report(rows, "source", "size", "coded")
-
-
-@query("SELECT count(*) AS n, sum((octet_length(encode(text)) > 0)::INT)::BIGINT AS corrupt FROM documents")
-def verify_damaged_documents(spark, sf_dir):
-    """Blocks without their last byte: every one with content must be found corrupt."""
-    short = texts(spark, sf_dir).where("size > 0").select(lz.encode_block("data").alias("b")).select(F.expr("substring(b, 1, octet_length(b) - 1)").alias("b"), F.octet_length("b").alias("n"))
-    kinds = short.withColumn("r", lz.try_decode_block("b")).withColumn("h", lz.block_header("b"))
-    # a literal block's length is its own: it is damaged if it is shorter than it was
-    bad = F.coalesce(F.col("r.error") == "corrupt", F.lit(False)) | (F.col("h.kind").isin("literal", "empty"))
-    seen = kinds.agg(F.sum(bad.cast("long")).alias("corrupt"))
-    return texts(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")).crossJoin(seen)
-
-
-@query("SELECT doc_id, quality, toxic FROM labels")
-def user_chunks_labels(spark, sf_dir):
-    """Labels carried as the payload of application chunks and read back."""
-    packed = table(spark, sf_dir, "labels").select(F.concat(numbers.chunk_header(0x80, F.lit(10)), numbers.le_bytes(F.col("doc_id"), 8), numbers.le_bytes(F.col("quality"), 1), numbers.le_bytes(F.col("toxic"), 1)).alias("chunk"))
-    number = lambda first, n: F.conv(F.concat(*[F.hex(F.expr(f"substring(chunk, {first + i}, 1)")) for i in reversed(range(n))]), 16, 10)
-    return packed.select(number(5, 8).cast("long").alias("doc_id"), number(13, 1).cast("int").alias("quality"), number(14, 1).cast("int").alias("toxic"))
-
-
 @query("SELECT event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents, max(event_id) AS last_event FROM events GROUP BY event_type")
 def events_follow_append(spark, sf_dir):
     """The events read as a stream to its present end."""
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"events_{uuid.uuid4().hex}"
-    running = event_totals(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    return settled(event_totals(rows), "complete")

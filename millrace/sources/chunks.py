@@ -1,131 +1,188 @@
-"""Stream files as tables: a row per chunk, then blocks, user chunks, checks and index entries as plain DataFrame work."""
+"""Chunk streams as tables: a row per chunk, then headers, streams, blocks, checks and index entries as DataFrame work.
+
+A table of chunks has path (the file or stream of streams), chunk_no and chunk (the chunk's bytes, its four-byte header
+included). Files become such a table by a walk over their headers; tables of chunks written by Spark already are.
+Payloads of blocks are stored bytes; a coded block's length is read from its header, its bytes are not decoded
+(`unsupported`).
+"""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.checksums import crc32c
-from millrace.functions.lz import BlockError, expand, read_uvarint
-from millrace.functions.numbers import indicated_size, mask_crc
-from millrace.operators.blocks import IDENTIFIER, offsets
+from millrace.functions.numbers import MAX_BLOCK, indicated_size, le_value, mask_crc, uvarint_value
+from millrace.operators import index
+from millrace.operators.blocks import IDENTIFIER, MAGIC
+from millrace.operators.running import running
+
+from .store import store
 
 # fixed values: chunk types of the stream format
 STORED, CODED, CODED_HASHED_BODY, VECTOR, END, INDEX, PADDING = 0x01, 0x02, 0x03, 0x10, 0x20, 0x40, 0xFE
-MAGIC = b"MinLz"
-SCHEMA = "path string, stream_no int, chunk_no int, offset long, type int, length int, payload binary, size long, error string"
-
-
-def _walk(path: str, data: bytes):
-    """(stream, chunk, offset, type, length, payload, decoded size, error) of a file's chunks; an error ends the walk."""
-    at, chunk, stream, known = 0, 0, -1, False
-    while at < len(data):
-        if at + 4 > len(data):
-            yield stream, chunk, at, None, None, None, None, "corrupt"
-            return
-        kind, length = data[at], int.from_bytes(data[at + 1 : at + 4], "little")
-        payload = data[at + 4 : at + 4 + length]
-        size, error = None, None
-        if len(payload) < length:
-            error = "corrupt"
-        elif kind == IDENTIFIER:
-            stream, known = stream + 1, True
-            error = "corrupt" if length < 6 or payload[:5] != MAGIC else "unsupported" if length > 6 or payload[5] & 128 else "corrupt" if (payload[5] & 15) + 10 > 23 else None
-        elif kind == END:
-            stream += not known
-            known = False
-            size = read_uvarint(payload, 0)[0] if payload else None
-        elif kind < 0x40 and not known:
-            error = "corrupt"
-        elif kind == STORED:
-            size = length - 4
-            error = "corrupt" if length < 4 else None
-        elif kind in (CODED, CODED_HASHED_BODY):
-            try:
-                size = read_uvarint(payload, 4)[0]
-            except BlockError:
-                error = "corrupt"
-        elif kind < 0x40:
-            error = "unsupported"  # reserved, or a block kind this engine does not decode
-        yield stream, chunk, at, kind, length, payload, size, error
-        if error:
-            return
-        at, chunk = at + 4 + length, chunk + 1
-    if known:
-        yield stream, chunk, at, None, None, None, None, "corrupt"  # the file ends before its stream does
+BLOCKS = (STORED, CODED, CODED_HASHED_BODY)
 
 
 def chunks_of(files: DataFrame) -> DataFrame:
-    """Chunk rows of files(path, content). A file is walked in one task; streams are written as files of bounded size."""
+    """path, chunk_no, chunk of files(path, content). A file is walked in one task; streams are files of bounded size."""
 
     def walk(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(path, *r) for r in _walk(path, content)]
-                for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows[i : i + 64]], schema=_ARROW)
+                at, n, rows = 0, 0, []
+                while at < len(content):
+                    end = at + 4 + int.from_bytes(content[at + 1 : at + 4], "little")
+                    rows.append((path, n, content[at:end]))
+                    at, n = end, n + 1
+                    if len(rows) == 64 or at >= len(content):
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], schema=_CHUNKS)
+                        rows = []
 
-    return files.select("path", "content").mapInArrow(walk, SCHEMA)
+    return files.select("path", "content").mapInArrow(walk, "path string, chunk_no long, chunk binary")
 
 
-_NAMES = ["path", "stream_no", "chunk_no", "offset", "type", "length", "payload", "size", "error"]
-_ARROW = pa.schema([("path", pa.string()), ("stream_no", pa.int32()), ("chunk_no", pa.int32()), ("offset", pa.int64()), ("type", pa.int32()), ("length", pa.int32()), ("payload", pa.binary()), ("size", pa.int64()), ("error", pa.string())])
+_CHUNKS = pa.schema([("path", pa.string()), ("chunk_no", pa.int64()), ("chunk", pa.binary())])
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return chunks_of(spark.read.format("binaryFile").load(path))
+    """The chunks of stream files."""
+    return scan(chunks_of(spark.read.format("binaryFile").load(path)))
 
 
-def decode_chunks(chunks: DataFrame, verify: bool = True) -> DataFrame:
-    """Blocks: path, stream_no, chunk_no, start, end (in the file's decoded bytes), data, error. Checks are per block.
+def headers(chunks: DataFrame, ignore_stream_id: bool = False, max_block: int = MAX_BLOCK) -> DataFrame:
+    """path, stream_no, chunk_no, offset, type, length, size (decoded), start, indicator, error: up to a path's first error.
 
-    start and end come from the headers alone, so filters on them drop blocks before any is decoded or verified.
+    From headers only; the payloads are neither kept nor moved. offset is the chunk's place, start that of its decoded bytes.
+    stream_no counts streams that follow each other; an end without an identifier is an empty stream.
+    ignore_stream_id: chunks from the middle of a stream, whose identifier is not there; they make up stream 0.
+    Errors: corrupt, unsupported (reserved chunks, later versions), too large (blocks above max_block).
     """
-    blocks = offsets(chunks.where(F.col("type").isin(STORED, CODED, CODED_HASHED_BODY)), "path", "chunk_no", F.coalesce("size", F.lit(0)))
+    if not 0 < max_block <= MAX_BLOCK:
+        raise ValueError(f"max_block: {max_block}")
+    byte = lambda i: F.conv(F.hex(F.expr(f"substring(chunk, {i}, 1)")), 16, 10).cast("int")
+    kind, length = byte(1), le_value(F.expr("substring(chunk, 2, 3)"), 3)
+    size = F.when(kind == STORED, length - 4).when(kind.isin(CODED, CODED_HASHED_BODY), uvarint_value(F.expr("substring(chunk, 9, 10)"))).when((kind == END) & (length > 0), uvarint_value(F.expr("substring(chunk, 5)")))
+    rows = store(
+        chunks.select(
+            "path", F.col("chunk_no").cast("long").alias("chunk_no"), kind.alias("type"), length.cast("int").alias("length"), size.cast("long").alias("size"), F.octet_length("chunk").cast("long").alias("whole"),
+            F.when(kind == IDENTIFIER, F.hex(F.expr("substring(chunk, 5, 5)")) == MAGIC).alias("named"), F.when(kind == IDENTIFIER, byte(10)).alias("indicator"),
+        )
+    )
+    block = F.col("type").isin(*BLOCKS)
+    mark = F.when(F.col("type") == IDENTIFIER, F.col("chunk_no") * 2 + 1).when(F.col("type") == END, F.col("chunk_no") * 2)
+    state = running(rows, ["path"], "chunk_no", {"offset": (F.col("whole"), "sum"), "start": (F.when(block, F.col("size")).otherwise(0), "sum"), "_mark": (mark, "max")})
+    known = F.lit(ignore_stream_id) | F.coalesce(F.col("_mark") % 2 == 1, F.lit(False))
+    begins = (F.col("type") == IDENTIFIER) | ((F.col("type") == END) & ~known)
+    state = store(state.withColumn("fault", _fault(known, max_block)).withColumn("begins", begins.cast("long")).drop("_mark", "named", "whole"))
+    # a path that ends inside a stream, and the first error of each path
+    ends = rows.groupBy("path").agg(F.max("chunk_no").alias("at"), F.max(mark).alias("last")).where(F.lit(not ignore_stream_id) & (F.col("last") % 2 == 1)).select("path", "at")
+    faults = ends.union(state.where("fault is not null").select("path", "chunk_no")).groupBy(F.col("path").alias("_p")).agg(F.min("at").alias("_first"))
+    rows = running(state, ["path"], "chunk_no", {"_streams": (F.col("begins"), "sum")}).join(faults, F.col("path").eqNullSafe(F.col("_p")), "left").where(F.col("_first").isNull() | (F.col("chunk_no") <= F.col("_first")))
+    error = F.coalesce("fault", F.when(F.col("chunk_no") == F.col("_first"), "corrupt"))
+    return store(rows.select("path", F.greatest(F.col("_streams") + F.col("begins") - 1, F.lit(0)).cast("int").alias("stream_no"), "chunk_no", "offset", "type", "length", "size", "start", "indicator", error.alias("error")))
+
+
+def scan(chunks: DataFrame, ignore_stream_id: bool = False, max_block: int = MAX_BLOCK) -> DataFrame:
+    """headers with the payload."""
+    found = headers(chunks, ignore_stream_id, max_block)
+    payloads = chunks.select(F.col("path").alias("_p"), F.col("chunk_no").cast("long").alias("_n"), F.expr("substring(chunk, 5)").alias("payload"))
+    return found.join(payloads, F.col("path").eqNullSafe(F.col("_p")) & (F.col("chunk_no") == F.col("_n"))).drop("_p", "_n")
+
+
+def _fault(known: Column, max_block: int) -> Column:
+    kind, length, size, indicator = (F.col(c) for c in ("type", "length", "size", "indicator"))
+    identifier = F.when((length < 6) | ~F.col("named"), "corrupt").when((length > 6) | (indicator >= 128), "unsupported").when(indicator % 16 + 10 > 23, "corrupt")
+    block = F.when(size.isNull() | (length < 4), "corrupt").when(size > max_block, "too large")
+    return (
+        F.when((F.col("whole") < 4) | (F.col("whole") < length + 4), "corrupt")
+        .when(kind == IDENTIFIER, identifier).when(kind == END, F.when((length > 0) & size.isNull(), "corrupt"))
+        .when((kind < 0x40) & ~known, "corrupt").when(kind.isin(*BLOCKS), block).when(kind < 0x40, "unsupported")
+    )
 
-    def decode(batches):
-        for batch in batches:
-            kind, payload, size = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("type", "payload", "size"))
-            data, error = [], []
-            for k, p, n in zip(kind, payload, size, strict=True):
-                try:
-                    data.append(p[4:] if k == STORED else expand(p, read_uvarint(p, 4)[1], n) if n else _bad())
-                    error.append(None)
-                except BlockError as e:
-                    data.append(None)
-                    error.append(e.kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary()), pa.array(error, pa.string())], [*batch.schema.names, "data", "failure"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields)
-    out = blocks.mapInArrow(decode, schema + ", data binary, failure string")
-    if verify:
-        le = F.conv(F.concat(*[F.hex(F.expr(f"substring(payload, {i}, 1)")) for i in (4, 3, 2, 1)]), 16, 10).cast("long")
-        varint = F.length(F.regexp_extract(F.hex(F.expr("substring(payload, 5)")), "^((?:[89A-F].)*..)", 1)) / 2
-        out = out.withColumn("_skip", varint.cast("int")).withColumn("_sum", F.when(F.col("type") == CODED_HASHED_BODY, F.expr("substring(payload, 5 + _skip)")).otherwise(F.coalesce("data", F.lit(b""))))
-        out = out.withColumn("failure", F.coalesce("failure", F.when(mask_crc(crc32c(F.col("_sum"))) != le, F.lit("crc")))).drop("_skip", "_sum")
-    return out.select("path", "stream_no", "chunk_no", "start", "end", F.when(F.col("failure").isNull(), F.col("data")).alias("data"), F.coalesce("error", "failure").alias("error"))
 
+def decode_chunks(chunks: DataFrame, verify: bool = True) -> DataFrame:
+    """Blocks: path, stream_no, chunk_no, start, end (in the path's decoded bytes), data, error. Checks are per block.
 
-def _bad():
-    raise BlockError("corrupt")
+    start and end come from the headers alone, so filters on them drop blocks before any is verified.
+    """
+    blocks = chunks.where(F.col("type").isin(*BLOCKS)).withColumn("end", F.col("start") + F.coalesce("size", F.lit(0)))
+    out = blocks.withColumn("data", F.when(F.col("type") == STORED, F.expr("substring(payload, 5)"))).withColumn("failure", F.when(F.col("type") != STORED, "unsupported"))
+    if verify:
+        wrong = mask_crc(crc32c(F.coalesce("data", F.lit(b"")))) != le_value(F.expr("substring(payload, 1, 4)"), 4)
+        out = out.withColumn("failure", F.coalesce("failure", F.when(wrong, "crc")))
+    return out.select("path", "stream_no", "chunk_no", "start", "end", F.when(F.col("failure").isNull(), F.col("data")).alias("data"), F.coalesce("error", "failure").alias("error"))
 
 
-def user_chunks(chunks: DataFrame) -> DataFrame:
-    """path, stream_no, chunk_no, id, payload of application chunks."""
-    return chunks.where(F.col("type").between(0x80, 0xFD)).select("path", "stream_no", "chunk_no", F.col("type").alias("id"), "payload")
+def user_chunks(chunks: DataFrame, ids: tuple[int, ...] | None = None) -> DataFrame:
+    """path, stream_no, chunk_no, id, payload of application chunks, of some ids or of all."""
+    found = chunks.where(F.col("type").between(0x80, 0xFD)).select("path", "stream_no", "chunk_no", F.col("type").alias("id"), "payload")
+    return found.where(F.col("id").isin(*ids)) if ids is not None else found
 
 
 def stream_checks(chunks: DataFrame) -> DataFrame:
     """path, stream_no, blocks, bytes, total (as the stream's end says), max_block, ok."""
+    block = F.col("type").isin(*BLOCKS)
     sums = chunks.groupBy("path", "stream_no").agg(
-        F.sum(F.col("type").isin(STORED, CODED, CODED_HASHED_BODY).cast("long")).alias("blocks"), F.sum(F.when(F.col("type").isin(STORED, CODED, CODED_HASHED_BODY), F.col("size")).otherwise(0)).alias("bytes"),
-        F.max(F.when(F.col("type") == END, F.col("size"))).alias("total"), F.max(F.when(F.col("type") == IDENTIFIER, F.conv(F.hex(F.expr("substring(payload, 6, 1)")), 16, 10).cast("int"))).alias("indicator"), F.max("error").alias("error"),
+        F.sum(block.cast("long")).alias("blocks"), F.sum(F.when(block, F.col("size")).otherwise(0)).alias("bytes"), F.max(F.when(F.col("type") == END, F.col("size"))).alias("total"),
+        F.max("indicator").alias("indicator"), F.max("error").alias("error"),
     )
     return sums.select("path", "stream_no", "blocks", "bytes", "total", indicated_size(F.col("indicator")).alias("max_block"), (F.col("error").isNull() & (F.coalesce("total", "bytes") == F.col("bytes"))).alias("ok"))
 
 
 def index_entries(chunks: DataFrame) -> DataFrame:
-    """Index entries from headers only: path, compressed (the chunk's place), uncompressed (where its block starts)."""
-    blocks = chunks.where(F.col("type").isin(STORED, CODED, CODED_HASHED_BODY) & (F.col("size") > 0))
-    return offsets(blocks, "path", "chunk_no", F.col("size")).select("path", F.col("offset").alias("compressed"), F.col("start").alias("uncompressed"))
+    """path, compressed (the chunk's place), uncompressed (where its block starts) of every block that is not empty."""
+    blocks = chunks.where(F.col("type").isin(*BLOCKS) & (F.col("size") > 0))
+    return blocks.select("path", F.col("offset").alias("compressed"), F.col("start").alias("uncompressed"))
+
+
+def index_totals(chunks: DataFrame) -> DataFrame:
+    """path, total_uncompressed, total_compressed (null for padded streams), spacing (the first block's size)."""
+    block = F.col("type").isin(*BLOCKS) & (F.col("size") > 0)
+    padded = F.max((F.col("type") == PADDING).cast("int")) == 1
+    return chunks.groupBy("path").agg(
+        F.coalesce(F.sum(F.when(block, F.col("size"))), F.lit(0)).alias("total_uncompressed"), F.when(~padded, F.sum(F.col("length").cast("long") + 4)).alias("total_compressed"), F.min_by(F.when(block, F.col("size")), F.when(block, F.col("chunk_no"))).alias("spacing")
+    )
+
+
+def index_of(chunks: DataFrame) -> DataFrame:
+    """path, compressed, uncompressed: the index of each path, entries at least the first block's size apart."""
+    entries = store(index.build(index_entries(chunks), "path", "compressed", "uncompressed"))
+    spaced = entries.join(index_totals(chunks).select(F.col("path").alias("_p"), "spacing"), F.col("path").eqNullSafe(F.col("_p"))).select("path", "compressed", "uncompressed", "spacing")
+    kept = index.thin(spaced, "path", "uncompressed", F.col("spacing")).select(F.col("path").alias("_k"), F.col("uncompressed").alias("_u"))
+    return entries.join(kept, F.col("path").eqNullSafe(F.col("_k")) & (F.col("uncompressed") == F.col("_u"))).select("path", "compressed", "uncompressed")
+
+
+def seek(asked: DataFrame, totals: DataFrame) -> DataFrame:
+    """asked (path, whence: start, current or end, delta, here) with target and error, by the rules of a seekable stream.
+
+    end needs a known total; before the start and past a known total are errors.
+    """
+    known = totals.select(F.col("path").alias("_p"), F.col("total_uncompressed").alias("_t"))
+    rows = asked.join(known, F.col("path").eqNullSafe(F.col("_p")), "left").drop("_p")
+    target = F.when(F.col("whence") == "start", F.col("delta")).when(F.col("whence") == "current", F.col("here") + F.col("delta")).otherwise(F.col("_t") + F.col("delta"))
+    error = F.when((F.col("whence") == "end") & F.col("_t").isNull(), "unsupported").when(F.col("target") < 0, "before start").when(F.col("target") > F.col("_t"), "past end")
+    return rows.withColumn("target", target).withColumn("error", error).drop("_t")
+
+
+def read_ranges(chunks: DataFrame, entries: DataFrame, asked: DataFrame, key: str, span: int = 1 << 16, verify: bool = True) -> DataFrame:
+    """asked (key, path, first, last) with piece: bytes first to last (exclusive) of a path's decoded bytes, null if none.
+
+    The index names the chunk to begin at; blocks from there to the last byte are joined by range, and only these are cut and
+    checked. Blocks and requests meet by stretches of `span` bytes, so a path of many blocks is not one task.
+    """
+    begin = index.find(entries.select("path", F.col("uncompressed")), asked.select(key, "path", "first", "last"), "path", "uncompressed", "first")
+    blocks = chunks.where(F.col("type").isin(*BLOCKS) & (F.col("size") > 0)).withColumn("end", F.col("start") + F.col("size"))
+    cell = lambda a, b: F.explode(F.sequence(F.floor(a / span), F.floor((b - 1) / span)))
+    blocks = blocks.withColumn("_cell", cell(F.col("start"), F.col("end"))).select(F.col("path").alias("_p"), "start", "end", "payload", "_cell")
+    wanted = begin.where("last > first").withColumn("_cell", cell(F.col("first"), F.col("last"))).withColumnRenamed("_cell", "_c")
+    meet = wanted.join(blocks, F.col("path").eqNullSafe(F.col("_p")) & (F.col("_c") == F.col("_cell")) & (F.col("start") >= F.col("found")) & (F.col("end") > F.col("first")) & (F.col("start") < F.col("last")))
+    once = meet.where(F.col("_cell") == F.floor(F.greatest("start", "first") / span))  # a block and a request share several stretches
+    if verify:
+        once = once.where(mask_crc(crc32c(F.expr("substring(payload, 5)"))) == le_value(F.expr("substring(payload, 1, 4)"), 4))
+    skip = F.greatest(F.col("first") - F.col("start"), F.lit(0)).cast("int")
+    once = once.withColumn("_skip", skip).withColumn("_keep", (F.least("end", "last") - F.col("start") - F.col("_skip")).cast("int"))
+    part = F.struct("start", F.hex(F.expr("substring(payload, 5 + _skip, _keep)")).alias("x"))
+    pieces = once.groupBy(key).agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["x"]), "")).alias("piece"))
+    return asked.join(pieces, key, "left")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.plans import catalog
+from millrace.plans import catalog, streams  # noqa: F401
 from oracle import same
 
 

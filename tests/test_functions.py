@@ -4,17 +4,20 @@ import math
 import random
 import struct
 
-import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import lz, numbers
-from millrace.functions.checksums import crc32c, crc32c_many, xxh3
+from millrace.functions import numbers
+from millrace.functions.checksums import crc32c, crc32c_many, crc32c_shift, xxh3
 from millrace.operators import blocks, index, statistics
 from millrace.operators.running import running_total
 
 
 def leb(n):
-    return lz.write_uvarint(n)
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
 
 
 def test_crc_golden():
@@ -49,31 +52,23 @@ def test_offset_symbols(spark):
     assert all(r.b <= r.o < r.b + (1 << r.x) for r in rows)
 
 
-def test_codec_round_trip():
-    rng = random.Random(1)
-    for i in range(400):
-        n = rng.choice([0, 1, 15, 16, 17, 64, 300, 5000])
-        data = bytes(rng.choice(b"ab" if i % 3 == 0 else b"abcdefgh" if i % 3 == 1 else range(256)) for _ in range(n)) * rng.choice([1, 1, 3])
-        if i % 50 == 0:
-            data = b"x" * rng.choice([67, 274, 70_000, 200_000]) + data
-        block = lz.encode(data)
-        assert lz.decode(block) == data and len(block) <= (len(data) + 2 if data else 1)
-
-
-def test_codec_golden_and_damage():
-    assert lz.decode(bytes.fromhex("0043" + "0061" + "ec24")) == b"a" * 67
-    for bad, kind in ((b"", "corrupt"), (b"\1\2", "corrupt"), (b"\0" + leb(9 << 20) + b"x", "too large"), (b"\0" + leb(1 << 24) + b"x", "unsupported"), (b"\0\5", "corrupt"), (b"\0\3abcd", "corrupt")):
-        with pytest.raises(lz.BlockError) as e:
-            lz.decode(bad)
-        assert e.value.kind == kind
-    block, rng = lz.encode(b"the quick brown fox jumps over the lazy dog; " * 50), random.Random(2)
-    for _ in range(500):
-        broken = bytearray(block)
-        broken[rng.randrange(len(broken))] ^= 1 << rng.randrange(8)
-        try:
-            assert len(lz.decode(bytes(broken))) <= lz.MAX_BLOCK
-        except lz.BlockError:
-            pass
+def test_block_lengths(spark):
+    cases = [(b"\0", 0), (b"\1ab", None), (b"\0\0ab", 2), (b"\0\0", -1), (b"\0\5ab", 5), (b"\0\2abc", -1), (b"\0" + leb(9 << 20) + b"x", -1), (b"\0\x80", -1), (b"\0" + leb(300) + b"xy", 300)]
+    rows = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "i int, b binary").select("i", numbers.block_len("b").alias("n")).collect()
+    assert [r.n for r in sorted(rows)] == [n for _, n in cases]
+
+
+def test_uvarint_values(spark):
+    cases = [(leb(v), v) for v in (0, 1, 127, 128, 300, 2**31, 2**62)] + [(b"\x80", None), (b"", None), (leb(77) + b"\xff", 77)]
+    rows = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "i int, b binary").select("i", numbers.uvarint_value("b").alias("n")).collect()
+    assert [r.n for r in sorted(rows)] == [n for _, n in cases]
+
+
+def test_checksum_of_parts(spark):
+    data = bytes(range(256)) * 9
+    for cut in (0, 1, 700, len(data)):
+        parts = spark.createDataFrame([(data[:cut], len(data) - cut), (data[cut:], 0)], "b binary, after long").select(crc32c_shift(crc32c("b"), F.col("after")).alias("c")).collect()
+        assert parts[0].c ^ parts[1].c == crc32c_many([data])[0]
 
 
 def test_xxh3_empty(spark):
@@ -123,6 +118,40 @@ def test_thin_and_find(spark):
     assert found == {(s, o): max([p for k, p in rows if k == s and p <= o], default=0) for s, o in ((r.s, r.off) for r in asked.collect())}
 
 
+def test_thin_over_buckets(spark):
+    """Dense, sparse and skewed streams, null ones too, with buckets of few spacings, against the fold in order."""
+    rng = random.Random(6)
+    rows = [("dense", i) for i in range(0, 3000, 1)] + [("sparse", rng.randrange(10**9)) for _ in range(200)] + [("hot", rng.randrange(10**6)) for _ in range(3000)] + [(None, rng.randrange(50_000)) for _ in range(300)]
+    entries = spark.createDataFrame(rows, "s string, place long").repartition(5)
+    for cells in (1, 3, 256):
+        got = sorted((r.s or "", r.place) for r in index.thin(entries, "s", "place", 777, cells).collect())
+        want = []
+        for s in {s for s, _ in rows}:
+            last = None
+            for p in sorted({p for k, p in rows if k == s}):
+                if last is None or p - last >= 777:
+                    want.append((s or "", p))
+                    last = p
+        assert got == sorted(want)
+    spaced = entries.withColumn("space", F.when(F.col("s") == "hot", 5000).otherwise(100))
+    hot = sorted(r.place for r in index.thin(spaced, "s", "place", F.col("space")).where("s = 'hot'").collect())
+    assert all(b - a >= 5000 for a, b in zip(hot, hot[1:])) and len(hot) > 100
+    asked = spark.createDataFrame([(s, rng.randrange(-10, 10**6)) for s in ("dense", "hot", None, "none") for _ in range(100)], "s string, off long")
+    for r in index.find(entries, asked, "s", "place", "off", width=1000).collect():
+        assert r.found == max([p for k, p in rows if k == r.s and p <= r.off], default=0)
+    kept = index.reduce_entries(entries.distinct(), "s", "place", most=100)
+    by_stream = {}
+    for s, p in sorted({r for r in rows}, key=lambda r: (r[0] or "", r[1])):
+        by_stream.setdefault(s, []).append(p)
+    assert sorted((r.s or "", r.place) for r in kept.collect()) == sorted((s or "", p) for s, v in by_stream.items() for i, p in enumerate(v) if len(v) < 100 or i % ((len(v) + 1) // 100 + 1) == 0)
+
+
+def test_regressions(spark):
+    rows = spark.createDataFrame([(1, 0, 0), (2, 5, 10), (3, 4, 20), (4, 9, 9), (5, 12, 30), (6, 5, 10)], "n long, c long, u long").withColumn("s", F.lit("x"))
+    assert sorted(r.n for r in index.regressions(rows, "s", "n", "c", "u").collect()) == [3, 4, 6]
+    assert index.regressions(rows.where("n in (1, 2, 5)"), "s", "n", "c", "u").count() == 0
+
+
 def test_tail_and_ranges(spark):
     data = [b"", b"no feed", b"a\nbc\nd", b"\xff\n\n\x00end", b"x" * 50 + b"\n" + b"y" * 8]
     rows = blocks.tail(spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, data binary"), "data", 10).collect()

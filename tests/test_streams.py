@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import lz
 from millrace.functions.checksums import crc32c_many
 from millrace.operators import blocks
 from millrace.sources import chunks as source
@@ -19,9 +18,12 @@ def masked(data):
     return ((((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF).to_bytes(4, "little")
 
 
-def coded(data):
-    body = lz.encode(data)[1:]
-    return framed(2, masked(data) + body)
+def leb(n):
+    return bytes([n & 127 | 128, *leb(n >> 7)]) if n > 127 else bytes([n])
+
+
+def stored(data):
+    return framed(1, masked(data) + data)
 
 
 HEAD = framed(0xFF, b"MinLz" + bytes([10]))
@@ -46,9 +48,9 @@ def test_written_streams_read_back(spark, tmp_path):
     assert source.index_entries(chunks).where("uncompressed = 4096").count() == 2
 
 
-def test_concatenated_coded_and_user_chunks(spark, tmp_path):
+def test_concatenated_and_user_chunks(spark, tmp_path):
     one, two = b"abcabcabc" * 100, b"second stream, second stream, second stream"
-    (tmp_path / "x.mz").write_bytes(HEAD + coded(one) + framed(0x85, b"note") + framed(0x20, lz.write_uvarint(len(one))) + framed(0x20, b"\0") + HEAD + coded(two) + framed(0xFE, b"\0\0") + framed(0x20, lz.write_uvarint(len(two))))
+    (tmp_path / "x.mz").write_bytes(HEAD + stored(one) + framed(0x85, b"note") + framed(0x20, leb(len(one))) + framed(0x20, b"\0") + HEAD + stored(two) + framed(0xFE, b"\0\0") + framed(0x20, leb(len(two))))
     chunks = source.read_chunks(spark, str(tmp_path)).cache()
     assert [bytes(r.data) for r in source.decode_chunks(chunks).orderBy("start").collect()] == [one, two]
     assert [(r.id, bytes(r.payload)) for r in source.user_chunks(chunks).collect()] == [(0x85, b"note")]
@@ -58,8 +60,8 @@ def test_concatenated_coded_and_user_chunks(spark, tmp_path):
 @pytest.mark.parametrize(
     ("data", "error"),
     [
-        (coded(b"x" * 100), "corrupt"), (HEAD[:7], "corrupt"), (HEAD + framed(0x3F, b""), "unsupported"), (framed(0xFF, b"Other!"), "corrupt"),
-        (framed(0xFF, b"MinLz" + bytes([0x8A])), "unsupported"), (HEAD + coded(b"y" * 100), "corrupt"),
+        (stored(b"x" * 100), "corrupt"), (HEAD[:7], "corrupt"), (HEAD + framed(0x3F, b""), "unsupported"), (framed(0xFF, b"Other!"), "corrupt"),
+        (framed(0xFF, b"MinLz" + bytes([0x8A])), "unsupported"), (HEAD + stored(b"y" * 100), "corrupt"), (HEAD + framed(2, b"1234\xff"), "corrupt"), (HEAD + framed(1, b"123"), "corrupt"),
     ],
 )
 def test_malformed(spark, tmp_path, data, error):
@@ -69,7 +71,7 @@ def test_malformed(spark, tmp_path, data, error):
 
 def test_damaged_block_fails_alone(spark, tmp_path):
     good, bad = b"good data " * 50, bytearray(framed(1, masked(b"was fine") + b"was fIne"))
-    (tmp_path / "d.mz").write_bytes(HEAD + bytes(bad) + coded(good) + framed(0x20, lz.write_uvarint(8 + len(good))))
+    (tmp_path / "d.mz").write_bytes(HEAD + bytes(bad) + stored(good) + framed(0x20, leb(8 + len(good))))
     chunks = source.read_chunks(spark, str(tmp_path))
     rows = source.decode_chunks(chunks).orderBy("start").collect()
     assert [r.error for r in rows] == ["crc", None] and bytes(rows[1].data) == good
@@ -78,6 +80,29 @@ def test_damaged_block_fails_alone(spark, tmp_path):
     assert [r.error for r in source.decode_chunks(chunks, verify=False).orderBy("start").collect()] == [None, None]
 
 
+def test_coded_blocks_are_measured_not_decoded(spark, tmp_path):
+    (tmp_path / "c.mz").write_bytes(HEAD + framed(2, b"1234" + leb(900) + b"body") + stored(b"after") + framed(0x20, leb(905)))
+    chunks = source.read_chunks(spark, str(tmp_path)).cache()
+    assert [(r.start, r.end, r.error) for r in source.decode_chunks(chunks).orderBy("start").collect()] == [(0, 900, "unsupported"), (900, 905, None)]
+    assert [(r.bytes, r.total, r.ok) for r in source.stream_checks(chunks).collect()] == [(905, 905, True)]
+
+
+def test_options(spark, tmp_path):
+    for bad in (0, (8 << 20) + 1):
+        with pytest.raises(ValueError):
+            source.headers(spark.createDataFrame([], "path string, chunk_no long, chunk binary"), max_block=bad)
+    empty = source.scan(spark.createDataFrame([], "path string, chunk_no long, chunk binary"))
+    assert empty.count() == 0 and source.index_of(empty).count() == 0 and source.decode_chunks(empty).count() == 0
+
+
+def test_padded_streams_have_no_compressed_total(spark):
+    cut = blocks.packed_blocks(spark.createDataFrame([("a", 1, b"x" * 5000), ("a", 2, None), ("a", 3, b"y" * 100), ("b", 1, b"z")], "k string, n int, d binary"), "k", "n", "d", 4096)
+    assert sorted((r.path, r.block_no, len(r.block)) for r in cut.collect()) == [("a", 0, 4096), ("a", 1, 1004), ("b", 0, 1)]
+    padded, plain = (source.headers(blocks.stream_chunks(cut, 4096, pad)) for pad in (512, 1))
+    assert all(r.total_compressed is None for r in source.index_totals(padded).collect())
+    assert {r.path: (r.total_uncompressed, r.total_compressed) for r in source.index_totals(plain).collect()} == {"a": (5100, 10 + 8 + 8 + 5100 + 6), "b": (1, 10 + 8 + 1 + 5)}
+
+
 def test_follow_and_thin(spark, tmp_path):
     src = tmp_path / "in"
     for part in range(3):
@@ -90,3 +115,29 @@ def test_follow_and_thin(spark, tmp_path):
     spark.range(300, 400).select(F.lit("s").alias("stream"), (F.col("id") * 7).alias("place")).coalesce(1).write.mode("append").parquet(str(src))
     follow.drain(follow.thin_stream(follow.follow(spark, str(src)), "stream", "place", 100), "append", str(tmp_path / "cp"), lambda df, _: kept.extend(r.place for r in df.collect()))
     assert len(kept) > before and len(set(kept)) == len(kept)
+    # an entry that lies before those kept in earlier batches is given as late
+    late = []
+    spark.createDataFrame([("s", 3), ("s", 10**6)], "stream string, place long").coalesce(1).write.mode("append").parquet(str(src))
+    follow.drain(follow.thin_stream(follow.follow(spark, str(src)), "stream", "place", 100), "append", str(tmp_path / "cp"), lambda df, _: late.extend((r.place, r.late) for r in df.collect()))
+    assert sorted(late) == [(3, True), (10**6, False)]
+
+
+def test_writer_state_between_batches(spark, tmp_path):
+    src, parts, found = tmp_path / "in", [b"ab" * 40, b"c" * 7, b"", b"d" * 200], []
+    for n, data in enumerate(parts):
+        spark.createDataFrame([("s", n, data)], "k string, n int, d binary").coalesce(1).write.mode("append").parquet(str(src))
+        follow.drain(follow.pack_stream(follow.follow(spark, str(src)), "k", "n", "d", 64), "append", str(tmp_path / "cp"), lambda df, _: found.extend((r.block_no, bytes(r.block)) for r in df.collect()))
+    whole = b"".join(parts)
+    assert sorted(found) == [(i, whole[i * 64 : (i + 1) * 64]) for i in range(len(whole) // 64)]
+
+
+def test_growing_file(spark, tmp_path):
+    log = tmp_path / "log"
+    log.write_bytes(b"one\n")
+    first = follow.grown(spark, str(log)).collect()
+    seen = spark.createDataFrame([(r.path, r.end) for r in first], "path string, end long")
+    assert bytes(first[0].data) == b"one\n" and follow.grown(spark, str(log), seen).count() == 0
+    log.write_bytes(b"one\ntwo\n")
+    assert [(r.offset, bytes(r.data)) for r in follow.grown(spark, str(log), seen).collect()] == [(4, b"two\n")]
+    log.write_bytes(b"x")
+    assert [(r.offset, bytes(r.data)) for r in follow.grown(spark, str(log), seen).collect()] == [(0, b"x")]
