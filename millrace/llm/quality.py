@@ -207,16 +207,18 @@ class View:
             seen[s] = True
         used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)
         # rows are gone through in pieces, so that the driver holds four bytes a key
-        pieces = [(i, place[np.concatenate(sets[i : i + 1024])], np.array([len(s) for s in sets[i : i + 1024]])) for i in range(0, len(sets), 1024)]
+        pieces = []
+        for i in range(0, len(sets), 1024):
+            some = sets[i : i + 1024]
+            pieces.append((slice(i, i + len(some)), place[np.concatenate(some)], np.repeat(np.arange(len(some), dtype=np.int32), [len(s) for s in some]), len(some)))
         weight = np.sqrt(np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))) / len(y)
         start = np.concatenate([self.w[used], self.d])
         x = start.copy()
         first, second = np.zeros_like(x), np.zeros_like(x)
         for t in range(1, steps + 1):
             g, words = np.zeros(len(sets)), np.zeros(len(used))
-            for i, key, size in pieces:
-                at, row = slice(i, i + len(size)), np.repeat(np.arange(len(size)), size)
-                raw = np.bincount(row, x[key], len(size)) + dense[at] @ x[len(used) :]
+            for at, key, row, size in pieces:
+                raw = np.bincount(row, x[key], size) + dense[at] @ x[len(used) :]
                 g[at] = weight[at] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[at])
                 words += np.bincount(key, g[at][row], len(used))
             grad = np.concatenate([words, dense.T @ g]) + decay * (x - start)
