@@ -35,6 +35,11 @@ def fuller(size: Column) -> Column:
     return F.log2(size + 2)
 
 
+def equal(size: Column) -> Column:
+    """The same weight for every document."""
+    return F.lit(1.0) + size * 0
+
+
 def _keys(seed: int, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
     text = F.col(text_col)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), text), 11).cast("double")
@@ -95,7 +100,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     """
     keys = _keys(seed, id_col, text_col, source_col)
     given = [weight] if isinstance(weight, str) else []
-    rows = stash(docs.select(*given, *[c.alias(k) for k, c in keys.items()]).withColumn("_class", _weight(weight)).drop(*given), "mix-rows")
+    counted = lambda df: df.withColumn("_size", F.explode(F.array("_size")))  # noqa: E731  words are counted once, not in every use
+    rows = stash(counted(docs.select(*given, *[c.alias(k) for k, c in keys.items()])).withColumn("_class", _weight(weight)).drop(*given), "mix-rows")
     same = lambda a, b, k="_source": a[k].eqNullSafe(b["_s"])
     classes = rows.groupBy("_source", "_class").agg(F.sum("_size").alias("words"))
     sizes = classes.groupBy("_source").agg(F.sum("words").alias("source_size"))
@@ -118,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     run = F.sum("_size").over(by_source.orderBy("_z", "_tie"))  # equal rows share a place
     last = in_cut.withColumn("upto", run).where(F.col("before") + F.col("upto") - F.col("_size") / 2 <= F.col("rest")).groupBy(F.col("_source").alias("_l")).agg(F.max(F.struct("_z", "_tie")).alias("last"))
     final = stash(sources.join(cuts.select(F.col("_s").alias("_k"), "cut"), F.col("_s").eqNullSafe(F.col("_k")), "left").join(last, F.col("_s").eqNullSafe(F.col("_l")), "left").drop("_k", "_l"), "mix-final")
-    taken = docs.withColumns(keys).withColumn("_class", _weight(weight))
+    taken = counted(docs.withColumns(keys)).withColumn("_class", _weight(weight))
     taken = taken.join(final, same(taken, final)).drop("_s")
     taken = _ranked(taken.join(plan, both(taken), "left").drop("_s", "_c").withColumn("_e", F.coalesce("_e", F.lit(0.0))))
     bucket = F.floor(F.col("_z") * buckets)

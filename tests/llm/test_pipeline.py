@@ -57,7 +57,7 @@ def test_decontamination_stage(spark, small, stages):
 
 
 def test_mixing_stage(stages):
-    copies = {r.doc_id: r.copies for r in mixing.mix_sizes(stages[3]).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix_sizes(stages[3], weight=mixing.equal).collect()}
     assert collections.Counter(r.doc_id for r in stages[4].collect()) == collections.Counter({i: n for i, n in copies.items() if n})
 
 
