@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.decontamination import uncontaminated
-from millrace.llm.mixing import mix_documents
+from millrace.llm.mixing import equal, mix_documents
 from millrace.llm.near_dedup import survivors
 from millrace.llm.quality import fit_quality, score_quality
 from millrace.llm.sharding import shard_documents
@@ -51,10 +51,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, three times at most.
 
-    A null source is a source; rows equal in id, source and text are taken or left together; null texts have no words and
-    come along as their source's other documents do.
+    Documents of a source have equal weight here, so that a source which the mix takes whole loses none. A null source is a
+    source; rows equal in id, source and text are taken or left together; null texts have no words and come along as their
+    source's other documents do.
     """
-    return mix_documents(docs)
+    return mix_documents(docs, weight=equal)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
