@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from .license_scan import NOTICES, SHARE, SHINGLE
+from .license_scan import PART, SHARE, SHINGLE, TEMPLATES, WHOLE, WINDOW
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(NOTICES))
+_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 _TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 OP1 = f"""
-WITH notice AS (SELECT i, license_id, w, len(w) AS m, least({SHINGLE}, len(w)) AS n FROM (SELECT i, license_id, {_TOKENS.format('t')} AS w FROM (VALUES {_ROWS}) v(i, license_id, t))),
-ns AS (SELECT DISTINCT i, license_id, m, n, array_to_string(w[p : p + n - 1], ' ') AS s FROM notice, unnest(range(1, m - n + 2)) u(p)),
-sizes AS (SELECT i, count(*) AS size FROM ns GROUP BY i),
-d AS (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS w FROM documents),
-n AS (SELECT DISTINCT n FROM ns),
-ds AS (SELECT doc_id, len(w) AS len, n, p, array_to_string(w[p : p + n - 1], ' ') AS s FROM d, n, unnest(range(1, greatest(len(w) - n + 2, 1))) u(p)),
-hit AS (SELECT doc_id, len, i, license_id, m, n, p, s FROM ds JOIN ns USING (n, s)),
-win AS (SELECT doc_id, i, license_id, m, first, count(DISTINCT s) AS found FROM hit, unnest(range(greatest(p - (m - n), 1), p + 1)) u(first) WHERE first <= len - m + 1 GROUP BY ALL),
-good AS (SELECT doc_id, license_id, CAST(found AS DOUBLE) / size AS containment, first, m FROM win JOIN sizes USING (i) WHERE CAST(found AS DOUBLE) / size >= {SHARE})
+WITH template AS (SELECT i, license_id, w, len(w) AS words, greatest(8, len(w) // 8) AS slack FROM (SELECT i, license_id, {_TOKENS.format('t')} AS w FROM (VALUES {_ROWS}) v(i, license_id, t))),
+win AS (SELECT i, license_id, CAST(NULL AS BIGINT) AS o, w, words AS m, least({SHINGLE}, words) AS n, {SHARE} AS least FROM template WHERE words <= {WHOLE}
+UNION ALL SELECT i, license_id, o, w[o + 1 : o + {WINDOW}], {WINDOW}, {SHINGLE}, {PART} FROM template, unnest(range(0, words - {WINDOW} + 1, {WINDOW - SHINGLE + 1})) u(o) WHERE words > {WHOLE}),
+ns AS (SELECT DISTINCT i, license_id, o, m, n, least, array_to_string(w[p : p + n - 1], ' ') AS s FROM win, unnest(range(1, m - n + 2)) u(p)),
+sizes AS (SELECT i, coalesce(o, -1) AS o, count(*) AS size FROM ns GROUP BY ALL),
+d AS (SELECT doc_id, row_number() OVER () AS row, {_TOKENS.format("coalesce(text, '')")} AS w FROM documents),
+k AS (SELECT DISTINCT n FROM ns),
+ds AS (SELECT doc_id, row, len(w) AS len, n, p, array_to_string(w[p : p + n - 1], ' ') AS s FROM d, k, unnest(range(1, greatest(len(w) - n + 2, 1))) u(p)),
+hit AS (SELECT doc_id, row, len, i, license_id, coalesce(o, -1) AS o, m, n, least, p, s FROM ds JOIN ns USING (n, s)),
+found AS (SELECT doc_id, row, i, license_id, o, m, least, len, first, count(DISTINCT s) AS found FROM hit, unnest(range(greatest(p - (m - n), 1), p + 1)) u(first) WHERE first <= len - m + 1 GROUP BY ALL),
+kept AS (SELECT *, CAST(found AS DOUBLE) / size AS containment FROM found JOIN sizes USING (i, o) WHERE CAST(found AS DOUBLE) / size >= least),
+place AS (SELECT DISTINCT doc_id, row, len, i, kept.license_id, CAST(floor((first - 1 - o)::DOUBLE / slack) AS BIGINT) AS q, slack, words FROM kept JOIN template USING (i) WHERE o >= 0),
+stretch AS (SELECT *, greatest((q - 1) * slack + 1, 1) AS a, least(len, (q + 2) * slack + words) AS e FROM place),
+whole AS (SELECT DISTINCT i, array_to_string(w[p : p + {SHINGLE - 1}], ' ') AS s FROM template, unnest(range(1, words - {SHINGLE} + 2)) u(p) WHERE words > {WHOLE}),
+held AS (SELECT doc_id, row, i, license_id, a, e, count(DISTINCT s) AS found FROM stretch JOIN ds USING (doc_id, row) JOIN whole USING (i, s) WHERE n = {SHINGLE} AND p >= a AND p + {SHINGLE - 1} <= e GROUP BY ALL),
+good AS (SELECT doc_id, license_id, containment, first, m FROM kept WHERE o < 0
+UNION ALL SELECT doc_id, license_id, CAST(found AS DOUBLE) / size, a, e - a + 1 FROM held JOIN (SELECT i, count(*) AS size FROM whole GROUP BY i) USING (i) WHERE CAST(found AS DOUBLE) / size >= {SHARE})
 SELECT doc_id, license_id, containment, CAST(first - 1 AS INT) AS first_word, CAST(m AS INT) AS n_words
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, license_id ORDER BY containment DESC, first, m DESC) AS r FROM good) WHERE r = 1
 """

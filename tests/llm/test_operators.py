@@ -59,6 +59,30 @@ def test_license_partial(spark):
     assert set(got) == {1} and 0.8 <= got[1].containment < 1
 
 
+def test_license_texts(spark, tmp_path):
+    """Whole licences, edited ones, SPDX lines, half a licence, in long and null texts: as the SQL finds them by brute force."""
+    rng, texts = np.random.default_rng(12), dict(license_scan.TEXTS)
+    filler = lambda n: " ".join(f"f{k}" for k in rng.integers(0, 500, n))
+    edited = lambda t, rate: " ".join(f"z{rng.integers(99)}" if rng.random() < rate else w for w in t.split())
+    longer = " ".join(w for i, w in enumerate(texts["MIT"].split()) for w in ([w, "inserted", "words"] if i % 40 == 20 else [w]))
+    rows = [(i, f"{filler(30)} {t} {filler(200)}") for i, t in enumerate(texts.values())]
+    rows += [(20 + i, f"{filler(5)} {edited(t, 0.02)}") for i, t in enumerate(texts.values())] + [(40 + i, edited(t, 0.2)) for i, t in enumerate(texts.values())]
+    rows += [(60, longer), (61, texts["MIT"][: len(texts["MIT"]) // 2]), (62, "# SPDX-License-Identifier: GPL-2.0-or-later\ncode"), (63, None), (64, filler(5000) + texts["Zlib"].upper()), (65, texts["ISC"] + " " + texts["ISC"]), (65, texts["MIT"]), (66, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.license_matches(docs.withColumns({c: F.lit("clash") for c in (*CLASHES, "row", "first", "m", "q", "words")})).collect()
+    found = collections.defaultdict(set)
+    for r in got:
+        found[r.doc_id].add(r.license_id)
+    names = list(texts)
+    assert all(names[i] in found[i] for i in range(len(names))) and sum(names[i] in found[20 + i] for i in range(len(names))) >= 6
+    assert "MIT" in found[60] and "GPL-2.0-or-later" in found[62] and "Zlib" in found[64] and {"ISC", "MIT"} <= found[65] and 63 not in found
+    assert all(r.n_words > 48 and r.containment > 0.8 for r in got if r.doc_id == 64 and r.license_id == "Zlib")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = __import__("duckdb").sql(ORACLES["op1_license_scan"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 # 2
 def test_tokens(spark, odd, small):
     import public_tokenizers
