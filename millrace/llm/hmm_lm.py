@@ -3,20 +3,22 @@
 The model. Tokens are lower-cased words and one end per text. A chain of K latent states emits word classes, and a class
 emits its words: P(word | state) = P(class | state) * P(word | class). Classes are a hash of the word, so the states'
 tables have a fixed size (K * 16385 numbers, about 1 MB) at any vocabulary, which is what makes them safe to send to
-every task; the end is a class of its own. P(word | class) comes from the counts of all training words, however many:
-(1 - u) * count / total of the class, and u, the Good-Turing share of the class's words seen once, for a word never seen.
+every task; the end is a class of its own. A share U of all emissions, the Good-Turing share of words seen once, goes to
+new words, evenly over classes. So P(word | class) is (1 - u) * count / total of the class, and u for a word never seen,
+where u is what new words have of the class's emissions. Counts are those of all training words, however many.
 
 Training. Expected counts of transitions and emissions are computed per partition by scaled forward and backward
 passes and summed across partitions by Spark. Training texts fall by hash into blocks of 1/64, 1/64, 1/32, ... 1/2 of
-all; the parameters are brought up to date after each block (incremental EM), the small ones being gone through several
-times, and a last pass recounts every training text. Long texts are trained on in runs of 256 tokens, each of whose
-first states has its own distribution. Scoring is exact: the forward recursion over the whole sequence, in which long
-texts are the product of the transfer matrices of their runs.
+all. Incremental EM: the counts of each block are kept, a pass over a block replaces its own, and the parameters follow
+from the sum of all blocks' counts so far; small blocks are gone through several times, a block without texts changes
+nothing. Then every training text is recounted in `full` whole passes. Long texts are trained on in runs of 256 tokens,
+each of whose first states has its own distribution. Scoring is exact: the forward recursion over the whole sequence, in
+which long texts are the product of the transfer matrices of their runs.
 
 Words become numbers once: a table has each text's codes in its block's dictionary, and the dictionaries. Counts are
-summed over the dictionaries and joined back to them, so a word costs a row per block, not per occurrence, and a
-frequent word is pre-summed. A block holds about 16 MB of text, or a single longer text; its dictionary is what one
-task collects.
+summed over the dictionaries' entries of a word, so a word costs a row per block, not per occurrence, and a frequent word
+is pre-summed; one exchange brings a word's entries together, another takes the counts back to their blocks. A block
+holds about 16 MB of text, or a single longer text; its dictionary is what one task collects.
 
 Null and empty texts are the end alone; null ids count as the empty string's hash for the split; repeated rows are
 scored (and counted) each; with no training text, N and V are 0 and the model is uniform over classes; an empty table
@@ -28,13 +30,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import ship, stash
 from .words import hash_words, rows
 
-STATES, CLASSES, RUN = 6, 1 << 14, 256
+STATES, CLASSES, RUN, FULL = 6, 1 << 14, 256, 1
 BLOCK_BYTES = 16 << 20
 #: Up to which of 64 hash shares a block of training texts reaches, and how often it is gone through.
 BLOCKS = ((0, 1, 4), (1, 2, 3), (2, 4, 2), (4, 8, 2), (8, 16, 1), (16, 32, 1), (32, 64, 1))
@@ -152,17 +154,24 @@ def _gather(texts: DataFrame, model: dict) -> tuple[np.ndarray, ...]:
     return out
 
 
-def _maximise(counts: tuple[np.ndarray, ...], base: np.ndarray) -> dict:
+def _maximise(counts: tuple[np.ndarray, ...], base: np.ndarray, new: float) -> dict:
     begin, move, seen = counts
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
-    return {"start": norm(begin + 0.5, 1), "step": norm(move + 0.5 + 4 * np.eye(STATES), 1), "emit": norm(seen + 64 * base[:, None], 0)}
+    return {"start": norm(begin + 0.5, 1), "step": norm(move + 0.5 + 4 * np.eye(STATES), 1), "emit": _with_new(norm(seen + 64 * base[:, None], 0), new)}
 
 
-def _first_guess(base: np.ndarray) -> dict:
+def _with_new(emit: np.ndarray, new: float) -> np.ndarray:
+    """Emissions of seen words' classes and the share of new words, which is even over classes."""
+    out = (1 - new) * emit
+    out[:-1] += new / CLASSES
+    return out
+
+
+def _first_guess(base: np.ndarray, new: float) -> dict:
     noise = np.exp(1.0 * np.random.default_rng(9).normal(size=(CLASSES + 1, STATES)))
     noise[-1] = 1
     emit = base[:, None] * noise
-    return {"start": np.full((2, STATES), 1 / STATES), "step": np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), "emit": emit / emit.sum(axis=0)}
+    return {"start": np.full((2, STATES), 1 / STATES), "step": np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), "emit": _with_new(emit / emit.sum(axis=0), new)}
 
 
 def log10_forward(classes: list[np.ndarray], model: dict) -> np.ndarray:
@@ -245,7 +254,7 @@ def _score(model: dict, n: int, v: int, ends: int, inside: tuple[np.ndarray, np.
     return score
 
 
-def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_scores(docs: DataFrame, full: int = FULL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (log10 P of the text)."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -253,27 +262,37 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held_out"), F.pmod(F.xxhash64(id_col), F.lit(64)).cast("int").alias("share"))
     coded = stash(given.mapInArrow(_encode, f"block long, id {kind}, held_out boolean, share int, n_tokens long, width int, codes binary, classes binary, place int, word long, n int"), "coded")
     texts, entries = coded.where("n_tokens is not null"), coded.where("place is not null")
-    counts = stash(entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     ends = texts.where("not held_out").count()
-    per_class = counts.groupBy(F.pmod(F.col("word"), F.lit(CLASSES)).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("one")).toPandas()
-    total, distinct, once = (np.zeros(CLASSES) for _ in range(3))
-    for into, name in ((total, "n"), (distinct, "v"), (once, "one")):
+    # a row per word and block, with the word's count over all blocks
+    word = Window.partitionBy("word")
+    known = stash(
+        entries.select(F.col("block").alias("of_block"), "place", F.pmod(F.col("word"), F.lit(CLASSES)).cast("short").alias("k"), F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("block")) == 1).alias("once")), "word-counts"
+    )
+    per_class = known.where("once and c > 0").groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("one")).toPandas()
+    total, distinct, single = (np.zeros(CLASSES) for _ in range(3))
+    for into, name in ((total, "n"), (distinct, "v"), (single, "one")):
         into[per_class.k.to_numpy(int)] = per_class[name].to_numpy(float)
     n, v = int(total.sum()) + ends, int(distinct.sum()) + (ends > 0)
-    new = np.where(total > 0, (once + 0.5) / (total + 1), 1.0)
+    new = (single.sum() + 1) / (n + 2)  # the share of emissions that are new words
+    fresh = new / CLASSES / (new / CLASSES + (1 - new) * total / max(n, 1))
     with np.errstate(divide="ignore"):
-        inside = np.log10((1 - new) / np.maximum(total, 1)), np.log10(new)
-    base = np.append(total, ends) + 1
-    base /= base.sum()
+        inside = np.log10((1 - fresh) / np.maximum(total, 1)), np.log10(fresh)
+    base = np.append(total, ends) if n else np.ones(CLASSES + 1)
+    base = base / base.sum()
 
-    model, train = _first_guess(base), texts.where("not held_out")
-    for low, high, times in BLOCKS:
+    model, train, kept = _first_guess(base, new), texts.where("not held_out"), {}
+    for block in BLOCKS:
+        low, high, times = block
         for _ in range(times):
-            model = _maximise(_gather(train.where((F.col("share") >= low) & (F.col("share") < high)), model), base)
-    model = _maximise(_gather(train, model), base)
-
-    known = entries.select("block", "place", "word").join(counts, "word", "left").select(F.col("block").alias("of_block"), "place", F.pmod(F.col("word"), F.lit(CLASSES)).cast("short").alias("k"), F.coalesce("c", F.lit(0)).alias("c"))
-    scored = texts.select("block", "id", "held_out", "n_tokens", "width", "codes").groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(
+            counts = _gather(train.where((F.col("share") >= low) & (F.col("share") < high)), model)
+            if not counts[2].any():
+                break
+            kept[block] = counts
+            model = _maximise(tuple(sum(x) for x in zip(*kept.values(), strict=True)), base, new)
+    for _ in range(full if kept else 0):
+        model = _maximise(_gather(train, model), base, new)
+
+    scored = texts.select("block", "id", "held_out", "n_tokens", "width", "codes").groupBy("block").cogroup(known.drop("once").groupBy("of_block")).applyInArrow(
         _score(model, n, v, ends, inside), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
