@@ -95,6 +95,9 @@ def test_tokens(spark, odd, small):
     want = sorted((r.doc_id or -1, len((r.text or "").encode()), n := len(sp.encode(r.text or "")), n > 4096) for r in docs.collect())
     assert got == want
     assert token_counts.Counter(path).exact
+    field = lambda n, value: bytes([n << 3 | 2, len(value)]) + value
+    other = field(1, b"piece") + bytes([0x1D]) + b"1234"
+    assert token_counts._character_map(other + field(3, field(1, b"nmt_nfkc") + field(2, b"map"))) and not token_counts._character_map(other + field(3, field(1, b"identity")))
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list(" \n\t\r abé<s>/0▁{};日.,'-"), rng.integers(0, 40))) for _ in range(2000)]
     assert token_counts.Counter(path, remember=100).count(texts) == [len(x) for x in sp.encode(texts)]
