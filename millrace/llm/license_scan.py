@@ -143,7 +143,7 @@ def anchors(words: list[str], share: float, common: dict[str, int]) -> list[str]
     n = min(SHINGLE, len(words))
     left = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
     spare, found = share * len(left), []
-    for w in sorted(set(words), key=lambda w: (len(w) < 4, common[w], -len(w), w)):
+    for w in sorted(set(words), key=lambda w: (len(w) < 6, common[w], -len(w), w)):
         if len(left) < spare:
             break
         if any(w in s for s in left):
