@@ -56,8 +56,8 @@ def packed_blocks(writes: DataFrame, stream: str, order: str, data: str, block_s
     skip = F.greatest(F.col("block_no") * block_size - F.col("_at"), F.lit(0))
     keep = F.least((F.col("block_no") + 1) * block_size, F.col("_at") + F.col("_n")) - F.col("_at") - skip
     spread = spread.withColumn("_skip", skip.cast("int")).withColumn("_keep", keep.cast("int"))
-    part = F.struct("_at", F.hex(F.expr("substring(_d, _skip + 1, _keep)")).alias("x"))
-    return spread.groupBy("path", "block_no").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["x"]), "")).alias("block"))
+    part = F.struct("_at", F.expr("substring(_d, _skip + 1, _keep)").alias("x"))  # bytes move, not their digits
+    return spread.groupBy("path", "block_no").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: F.hex(p["x"])), "")).alias("block"))
 
 
 def framed(kind: int, payload: Column) -> Column:

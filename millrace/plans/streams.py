@@ -169,10 +169,11 @@ _ASKED = "q AS (SELECT event_id, 'src' || (user_id % 24) AS path, (event_id * 79
 @query(f"WITH {_PACKED}, {_ASKED} SELECT event_id, path, CASE WHEN last > first AND substr(x, 2 * first + 1, 2 * (last - first)) <> '' THEN md5(substr(x, 2 * first + 1, 2 * (last - first))) END AS digest FROM q LEFT JOIN p ON p.source = q.path")
 def read_at_events(spark, sf_dir):
     """Ranges of streams read through their indexes, verified; what lies past the end is not there."""
-    scanned = source.scan(by_source(spark, sf_dir))
+    rows = by_source(spark, sf_dir)
+    found = source.headers(rows)
     first = (F.col("event_id") * 7919) % 90000
     asked = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("src"), (F.col("user_id") % 24).cast("string")).alias("path"), first.alias("first"), (first + F.col("event_id") % 6000).alias("last"))
-    got = source.read_ranges(scanned, source.index_of(scanned), asked, "event_id")
+    got = source.read_ranges(source.with_payloads(found, rows), source.index_of(found), asked, "event_id")
     return got.select("event_id", "path", F.md5(F.hex("piece").cast("binary")).alias("digest"))
 
 

@@ -8,11 +8,13 @@ Payloads of blocks are stored bytes; a coded block's length is read from its hea
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.checksums import crc32c
+from millrace.functions.checksums import crc32c, crc32c_many
 from millrace.functions.numbers import MAX_BLOCK, indicated_size, le_value, mask_crc, uvarint_value
 from millrace.operators import index
 from millrace.operators.blocks import IDENTIFIER, MAGIC
@@ -23,6 +25,9 @@ from .store import store
 # fixed values: chunk types of the stream format
 STORED, CODED, CODED_HASHED_BODY, VECTOR, END, INDEX, PADDING = 0x01, 0x02, 0x03, 0x10, 0x20, 0x40, 0xFE
 BLOCKS = (STORED, CODED, CODED_HASHED_BODY)
+#: Requests, and bytes that they ask for, that a bunch of reading ranges has; bytes of pieces in a batch of results.
+BUNCH_ROWS, BUNCH_BYTES, PIECE_BYTES = 1 << 14, 1 << 25, 1 << 22
+_HEAD, _MARK, _BLOCK, _ASKED = range(4)
 
 
 def chunks_of(files: DataFrame) -> DataFrame:
@@ -86,7 +91,11 @@ def headers(chunks: DataFrame, ignore_stream_id: bool = False, max_block: int =
 
 def scan(chunks: DataFrame, ignore_stream_id: bool = False, max_block: int = MAX_BLOCK) -> DataFrame:
     """headers with the payload."""
-    found = headers(chunks, ignore_stream_id, max_block)
+    return with_payloads(headers(chunks, ignore_stream_id, max_block), chunks)
+
+
+def with_payloads(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """headers found before, with the payload."""
     payloads = chunks.select(F.col("path").alias("_p"), F.col("chunk_no").cast("long").alias("_n"), F.expr("substring(chunk, 5)").alias("payload"))
     return found.join(payloads, F.col("path").eqNullSafe(F.col("_p")) & (F.col("chunk_no") == F.col("_n"))).drop("_p", "_n")
 
@@ -169,20 +178,97 @@ def seek(asked: DataFrame, totals: DataFrame) -> DataFrame:
 def read_ranges(chunks: DataFrame, entries: DataFrame, asked: DataFrame, key: str, span: int = 1 << 16, verify: bool = True) -> DataFrame:
     """asked (key, path, first, last) with piece: bytes first to last (exclusive) of a path's decoded bytes, null if none.
 
-    The index names the chunk to begin at; blocks from there to the last byte are joined by range, and only these are cut and
-    checked. Blocks and requests meet by stretches of `span` bytes, so a path of many blocks is not one task.
+    The index names the chunk to begin at. Requests and blocks meet in cells of a path, `span` bytes wide or, for longer
+    requests, that doubled until a request fits: it lies in its cell and the next one. A cell's requests are dealt out in
+    bunches by their key, and each bunch gets the blocks and index entries of the two cells, few beside what it reads. Pieces
+    are cut there, a batch of requests at a time, and not moved again; only blocks that a bunch needs are checked.
     """
-    begin = index.find(entries.select("path", F.col("uncompressed")), asked.select(key, "path", "first", "last"), "path", "uncompressed", "first")
-    blocks = chunks.where(F.col("type").isin(*BLOCKS) & (F.col("size") > 0)).withColumn("end", F.col("start") + F.col("size"))
-    cell = lambda a, b: F.explode(F.sequence(F.floor(a / span), F.floor((b - 1) / span)))
-    blocks = blocks.withColumn("_cell", cell(F.col("start"), F.col("end"))).select(F.col("path").alias("_p"), "start", "end", "payload", "_cell")
-    wanted = begin.where("last > first").withColumn("_cell", cell(F.col("first"), F.col("last"))).withColumnRenamed("_cell", "_c")
-    meet = wanted.join(blocks, F.col("path").eqNullSafe(F.col("_p")) & (F.col("_c") == F.col("_cell")) & (F.col("start") >= F.col("found")) & (F.col("end") > F.col("first")) & (F.col("start") < F.col("last")))
-    once = meet.where(F.col("_cell") == F.floor(F.greatest("start", "first") / span))  # a block and a request share several stretches
-    if verify:
-        once = once.where(mask_crc(crc32c(F.expr("substring(payload, 5)"))) == le_value(F.expr("substring(payload, 1, 4)"), 4))
-    skip = F.greatest(F.col("first") - F.col("start"), F.lit(0)).cast("int")
-    once = once.withColumn("_skip", skip).withColumn("_keep", (F.least("end", "last") - F.col("start") - F.col("_skip")).cast("int"))
-    part = F.struct("start", F.hex(F.expr("substring(payload, 5 + _skip, _keep)")).alias("x"))
-    pieces = once.groupBy(key).agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["x"]), "")).alias("piece"))
-    return asked.join(pieces, key, "left")
+    length = F.col("last") - F.col("first")
+    wide = F.when(length > 0, F.lit(span) * F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.least(length, F.lit(1 << 60)) / span)), F.lit(0))).cast("long"))
+    rows = asked.select(F.col("path").alias("p"), F.col("first").cast("long").alias("a"), F.col("last").cast("long").alias("z"), wide.alias("w"), F.struct(*asked.columns).alias("row"))
+    rows = rows.withColumn("c", F.floor(F.col("a") / F.col("w"))).withColumns({x: F.when(F.col("w").isNotNull(), F.col(x)) for x in ("a", "z")})
+    count = F.ceil(F.greatest(F.count(F.lit(1)) / BUNCH_ROWS, F.sum((F.col("z") - F.col("a")).cast("double")) / F.greatest(F.lit(BUNCH_BYTES), 2 * F.col("w"))))
+    cells = store(rows.where("w is not null").groupBy("p", "w", "c").agg(count.cast("int").alias("n")))
+    # cells of several bunches are at most one to so many requests or bytes, so that sending them to all tasks is little
+    hot = F.broadcast(cells.where("n > 1").select(*[F.col(x).alias(f"_{x}") for x in ("p", "w", "c", "n")]))
+    rows = rows.join(hot, F.col("p").eqNullSafe(F.col("_p")) & (F.col("w") == F.col("_w")) & (F.col("c") == F.col("_c")), "left")
+    rows = rows.withColumn("s", F.pmod(F.xxhash64(F.col("row")[key], "a", "z"), F.when(F.col("w").isNull(), 1024).otherwise(F.coalesce("_n", F.lit(1)))).cast("int"))
+
+    begin = index.find(entries, cells.select(F.col("p").alias("path"), "w", "c", "n", (F.col("w") * F.col("c")).alias("a")), "path", "uncompressed", "a")
+    bunches = store(begin.select(F.col("path").alias("p"), "w", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"), F.col("found").cast("long").alias("found"), F.floor(F.col("a") / span).alias("t")))
+    stretch = lambda x: F.floor(x / span)
+    stored = chunks.where(F.col("type").isin(*BLOCKS) & (F.col("size") > 0)).withColumn("end", F.col("start") + F.col("size"))
+    ends = stored.groupBy(F.col("path").alias("_p")).agg(stretch(F.max("end") - 1).alias("_last"))  # requests may go on far behind it
+    upto = F.least(F.col("t") + stretch(2 * F.col("w")) - 1, F.col("_last"))
+    needs = bunches.join(ends, F.col("p").eqNullSafe(F.col("_p"))).where(upto >= F.greatest("t", F.lit(0))).withColumn("u", F.explode(F.sequence(F.greatest("t", F.lit(0)), upto))).drop("_p", "_last")
+    marks = entries.select(F.col("path").alias("_p"), F.col("uncompressed").cast("long").alias("at"), stretch(F.col("uncompressed")).alias("_u"))
+    blocks = stored.select(F.col("path").alias("_p"), F.col("start").alias("at"), F.col("end").alias("z"), "payload")
+    blocks = blocks.withColumn("_u", F.explode(F.sequence(stretch(F.col("at")), stretch(F.col("z") - 1))))
+    met = F.col("p").eqNullSafe(F.col("_p")) & (F.col("u") == F.col("_u"))
+    blocks = blocks.join(needs, met & (F.col("u") == F.greatest("t", stretch(F.col("at")))))  # a block and a bunch share several stretches
+    spot, none = ["p", "w", "c", "s"], F.lit(None)
+    want = le_value(F.expr("substring(payload, 1, 4)"), 4) if verify else none
+
+    def part(df: DataFrame, kind: int, at: str, z: Column = none, want: Column = none, data: Column = none, row: Column = none) -> DataFrame:
+        return df.select(*spot, F.lit(kind).alias("kind"), F.col(at).alias("at"), z.cast("long").alias("z"), want.cast("long").alias("want"), data.cast("binary").alias("data"), row.cast(rows.schema["row"].dataType).alias("row"))
+
+    parts = part(bunches, _HEAD, "found").union(part(marks.join(needs, met), _MARK, "at")).union(part(blocks, _BLOCK, "at", F.col("z"), want, F.expr("substring(payload, 5)"))).union(part(rows, _ASKED, "a", F.col("z"), row=F.col("row")))
+    dealt = parts.repartition(*spot).sortWithinPartitions(*spot, "kind", "at").drop(*spot)
+    shape = T.StructType([T.StructField("row", asked.schema), T.StructField("piece", T.BinaryType())])
+    return dealt.mapInArrow(_cut, shape).select("row.*", "piece")
+
+
+def _cut(batches):
+    """row, piece of the requests among rows that come bunch by bunch: its head, index entries, blocks, requests."""
+    marks, blocks, held = [], [], None
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        at, z = (batch.column(c).fill_null(0).to_numpy() for c in ("at", "z"))
+        edges = [0, *(np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _HEAD)) + 1).tolist(), len(kind)]
+        found = []
+        for i, j in zip(edges, edges[1:]):
+            if i == j:
+                continue
+            if kind[i] == _HEAD:
+                marks, blocks, held = [at[i : i + 1]], [], None
+            elif kind[i] == _MARK:
+                marks.append(at[i:j])
+            elif kind[i] == _BLOCK:
+                blocks += zip(at[i:j].tolist(), z[i:j].tolist(), batch.column("want").slice(i, j - i).to_pylist(), batch.column("data").slice(i, j - i).to_pylist(), strict=True)
+            else:
+                held = held or _held(marks, blocks)
+                found += _pieces(held, at[i:j], z[i:j])
+        rows = batch.column("row").filter(pa.array(kind == _ASKED))
+        size = np.cumsum([last - first for _, first, last in found]) // PIECE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(found)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i < j:
+                pieces = pa.array([None if data is None else data[first:last] for data, first, last in found[i:j]], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), pieces], ["row", "piece"])
+
+
+def _held(marks: list[np.ndarray], blocks: list[tuple]) -> tuple:
+    """Of a bunch: index entries, starts, ends, lengths and places of the blocks that pass their check, their bytes."""
+    if any(want is not None for _, _, want, _ in blocks):
+        crc = crc32c_many([data for *_, data in blocks]).astype(np.uint64)
+        masked = (((crc >> np.uint64(15)) | (crc << np.uint64(17))) + np.uint64(0xA282EAD8)) & np.uint64(0xFFFFFFFF)
+        blocks = [b for b, got in zip(blocks, masked.tolist(), strict=True) if b[2] == got]
+    parts = [data[: end - start] for start, end, _, data in blocks]
+    size = np.array([len(x) for x in parts], np.int64)
+    start, end = (np.array([b[k] for b in blocks], np.int64) for k in (0, 1))
+    return np.concatenate(marks or [np.zeros(1, np.int64)]), start, end, size, np.cumsum(size) - size, b"".join(parts)
+
+
+def _pieces(held: tuple, first: np.ndarray, last: np.ndarray) -> list[tuple]:
+    """(bytes, first, last) of what each request reads of the blocks held; (None, 0, 0) without any."""
+    marks, start, end, size, place, data = held
+    named = marks[np.maximum(np.searchsorted(marks, first, "right") - 1, 0)]
+    lo = np.maximum(np.searchsorted(end, first, "right"), np.searchsorted(start, named))
+    hi = np.searchsorted(start, last)
+    some = np.flatnonzero((lo < hi) & (first < last))
+    lo, hi, out = lo[some], hi[some] - 1, [(None, 0, 0)] * len(first)
+    begin = place[lo] + np.clip(first[some] - start[lo], 0, size[lo])
+    stop = place[hi] + np.minimum(last[some] - start[hi], size[hi])
+    for k, i, j in zip(some.tolist(), begin.tolist(), stop.tolist(), strict=True):
+        out[k] = (data, i, max(i, j))
+    return out

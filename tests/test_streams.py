@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.checksums import crc32c_many
 from millrace.operators import blocks
+from millrace.operators.running import running
 from millrace.sources import chunks as source
 from millrace.streaming import follow
 
@@ -141,3 +142,33 @@ def test_growing_file(spark, tmp_path):
     assert [(r.offset, bytes(r.data)) for r in follow.grown(spark, str(log), seen).collect()] == [(4, b"two\n")]
     log.write_bytes(b"x")
     assert [(r.offset, bytes(r.data)) for r in follow.grown(spark, str(log), seen).collect()] == [(0, b"x")]
+
+
+def test_many_requests_of_one_stretch_are_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source, "BUNCH_ROWS", 16)
+    monkeypatch.setattr(source, "PIECE_BYTES", 5000)
+    whole = {"a": bytes(i * 7 % 251 for i in range(100000)), "b": b"tail " * 900}
+    rows = blocks.packed_blocks(spark.createDataFrame([(k, 1, v) for k, v in whole.items()], "k string, n int, d binary"), "k", "n", "d", 4096)
+    scanned = source.scan(blocks.stream_chunks(rows, 4096)).cache()
+    wanted = [(i, "a", i * 37 % 3000, i * 37 % 3000 + i * 101 % 9000) for i in range(200)]
+    wanted += [(200, "a", 0, 10**15), (201, "a", -50, 90), (202, "b", 4400, 9999), (203, "b", 4500, 9999), (204, "c", 0, 5), (205, None, 0, 5), (206, "a", None, 9), (207, "a", 5, 5), (208, "a", 100, 90000), (209, "b", 4096, 4097), (209, "a", 65535, 65537), (210, "a", 0, 2**63 - 1)]
+    asked = spark.createDataFrame(wanted, "id int, path string, first long, last long").withColumn("payload", F.col("id") % 3)
+    got = source.read_ranges(scanned, source.index_of(scanned), asked, "id", span=4096)
+    assert got.columns == [*asked.columns, "piece"]
+    want = sorted(((i, str(p), a, z, (whole.get(p, b"")[max(a, 0) : z] or None) if a is not None else None) for i, p, a, z in wanted), key=repr)
+    assert sorted([(r["id"], str(r["path"]), r["first"], r["last"], None if r["piece"] is None else bytes(r["piece"])) for r in got.collect()], key=repr) == want
+
+
+def test_pieces_are_not_shuffled(spark):
+    rows = spark.range(4).select(F.lit("s").alias("k"), "id", F.lit(b"0123456789" * 1000).alias("d"))
+    scanned = source.scan(blocks.stream_chunks(blocks.packed_blocks(rows, "k", "id", "d", 4096), 4096))
+    asked = spark.range(9).select("id", F.lit("s").alias("path"), (F.col("id") * 1000).alias("first"), (F.col("id") * 1500).alias("last"))
+    plan = source.read_ranges(scanned, source.index_of(scanned), asked, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(node in line and "piece" in line for line in plan.splitlines() for node in ("Join", "Aggregate", "Repartition"))
+
+
+def test_wide_rows_of_running_totals_meet_no_join(spark):
+    rows = spark.createDataFrame([("a", 1, 5, "x"), ("a", 5000, 7, "y"), (None, 2, 1, "z"), ("a", 9000, None, "w"), ("a", 9001, 2, "v")], "k string, o long, n int, d string")
+    got = running(rows, ["k"], "o", {"s": (F.col("n"), "sum"), "m": (F.col("n"), "max")})
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted([tuple(r) for r in got.select("d", "s", "m").collect()]) == [("v", 12, 7), ("w", 12, 7), ("x", 0, None), ("y", 5, 5), ("z", 0, None)]
