@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CASTAGNOLI = 0x82F63B78  # fixed value: the reflected polynomial
+_SLICE = 1024  # byte positions of 4096 rows that are turned at a time
 
 
 def _table() -> np.ndarray:
@@ -26,20 +28,28 @@ _TABLE = _table()
 
 def crc32c_many(values: list[bytes], start: int = 0) -> np.ndarray:
     """CRC-32C of each value, continuing from `start`."""
-    size = np.array([len(v) for v in values], np.int64)
+    return crc32c_array(pa.array(values, pa.large_binary()), start)
+
+
+def crc32c_array(values: pa.Array, start: int = 0) -> np.ndarray:
+    """CRC-32C of each value of a binary array, read where it lies: beside the array a few MB are held, whatever its size."""
+    wide = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    _, places, data = values.buffers()
+    at = np.frombuffer(places, wide, count=len(values) + 1, offset=values.offset * wide().itemsize).astype(np.int64) if len(values) else np.zeros(1, np.int64)
+    bytes_ = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    size = np.where(values.is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0)
     order = np.argsort(-size, kind="stable")
     out = np.full(len(values), start ^ 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(order), 4096):
-        rows = order[at : at + 4096]
-        n = size[rows]
+    for lane in range(0, len(order), 4096):
+        rows = order[lane : lane + 4096]
+        n, first = size[rows], at[:-1][rows]
         crc = out[rows]
-        for lo in range(0, int(n[0]) if len(n) else 0, 4096):  # a slice of the columns at a time
+        for lo in range(0, int(n[0]), _SLICE):  # a slice of the columns at a time
             live = int(np.searchsorted(-n, -lo, side="left"))
-            wide = int(min(n[0] - lo, 4096))
+            wide = int(min(n[0] - lo, _SLICE))
             block = np.zeros((wide, live), np.uint8)
-            for i in range(live):
-                piece = np.frombuffer(values[rows[i]], np.uint8, count=int(min(n[i] - lo, wide)), offset=lo)
-                block[: len(piece), i] = piece
+            for i, (begin, left) in enumerate(zip((first[:live] + lo).tolist(), np.minimum(n[:live] - lo, wide).tolist(), strict=True)):
+                block[:left, i] = bytes_[begin : begin + left]
             for j in range(wide):
                 k = int(np.searchsorted(-n[:live], -(lo + j), side="left"))
                 crc[:k] = _TABLE[(crc[:k] ^ block[j, :k]) & np.uint32(255)] ^ (crc[:k] >> np.uint32(8))
@@ -47,11 +57,10 @@ def crc32c_many(values: list[bytes], start: int = 0) -> np.ndarray:
     return out ^ np.uint32(0xFFFFFFFF)
 
 
-@F.pandas_udf(T.LongType())
-def crc32c(data: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def crc32c(data: pa.Array) -> pa.Array:
     """Unsigned CRC-32C of BINARY; null for null."""
-    got = crc32c_many([v if v is not None else b"" for v in data])
-    return pd.Series(got.astype("int64"), index=data.index).astype("Int64").mask(data.isna())
+    return pa.array(crc32c_array(data).astype(np.int64), mask=data.is_null().to_numpy(zero_copy_only=False))
 
 
 def _advance(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:

@@ -3,7 +3,9 @@
 import math
 import random
 import struct
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers
@@ -161,3 +163,16 @@ def test_tail_and_ranges(spark):
     first, end = blocks.ranges(F.lit(100), F.col("o"), F.col("n"))
     got = spark.createDataFrame([(None, None), (30, None), (None, 20), (30, 20), (300, 5), (None, 500)], "o int, n int").select(first.alias("a"), end.alias("b")).collect()
     assert [(r.a, r.b) for r in got] == [(0, 100), (30, 100), (80, 100), (30, 50), (100, 100), (0, 100)]
+
+
+def test_checksums_hold_little_beside_their_batch():
+    data = [bytes([i % 251]) * 4096 for i in range(4096)]
+    tracemalloc.start()
+    got = crc32c_many(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20 and got[251] == got[0] != got[1]
+    # by Arrow arrays as they come, also parts of them, without a bytes object per row
+    rows = pa.array([b"zero", None, b"123456789", b"", None, b"x" * 3000], pa.binary())
+    assert crc32c.func(rows.slice(1)).to_pylist() == [None, 0xE3069283, 0, None, int(crc32c_many([b"x" * 3000])[0])]
+    assert crc32c.func(rows.cast(pa.large_binary())).to_pylist()[2] == 0xE3069283 and crc32c.func(rows.slice(0, 0)).to_pylist() == []
