@@ -1,10 +1,13 @@
 """Stream files: written from chunk rows, read as tables; damage; growing sources."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from millrace.functions.checksums import crc32c_many
-from millrace.operators import blocks
+from millrace.operators import blocks, index
 from millrace.operators.running import running
 from millrace.sources import chunks as source
 from millrace.streaming import follow
@@ -172,3 +175,14 @@ def test_wide_rows_of_running_totals_meet_no_join(spark):
     got = running(rows, ["k"], "o", {"s": (F.col("n"), "sum"), "m": (F.col("n"), "max")})
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted([tuple(r) for r in got.select("d", "s", "m").collect()]) == [("v", 12, 7), ("w", 12, 7), ("x", 0, None), ("y", 5, 5), ("z", 0, None)]
+
+
+def test_index_of_written_streams_as_json_uses_arrow_checksums(spark):
+    rows = spark.createDataFrame([("s", 1, b"x" * 9000), ("s", 2, b"y" * 10)], "k string, n int, d binary")
+    made = blocks.stream_chunks(blocks.packed_blocks(rows, "k", "n", "d", 4096), 4096)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert f"], {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in plan and f"], {PythonEvalType.SQL_SCALAR_PANDAS_UDF}" not in plan
+    found = source.headers(made)
+    out = index.to_json(source.index_of(found), source.index_totals(found), "path", "compressed", "uncompressed", "spacing").collect()
+    at = [{"compressed": 10 + 4104 * i, "uncompressed": 4096 * i} for i in range(3)]
+    assert [(r.path, json.loads(r.json)) for r in out] == [("s", {"total_uncompressed": 9010, "total_compressed": 10 + 24 + 9010 + 6, "offsets": at, "est_block_uncompressed": 4096})]
