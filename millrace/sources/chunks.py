@@ -202,10 +202,12 @@ def read_ranges(chunks: DataFrame, entries: DataFrame, asked: DataFrame, key: st
     upto = F.least(F.col("t") + stretch(2 * F.col("w")) - 1, F.col("_last"))
     needs = bunches.join(ends, F.col("p").eqNullSafe(F.col("_p"))).where(upto >= F.greatest("t", F.lit(0))).withColumn("u", F.explode(F.sequence(F.greatest("t", F.lit(0)), upto))).drop("_p", "_last")
     marks = entries.select(F.col("path").alias("_p"), F.col("uncompressed").cast("long").alias("at"), stretch(F.col("uncompressed")).alias("_u"))
-    blocks = stored.select(F.col("path").alias("_p"), F.col("start").alias("at"), F.col("end").alias("z"), "payload")
+    blocks = stored.select(F.col("path").alias("_p"), F.col("chunk_no").alias("_n"), F.col("start").alias("at"), F.col("end").alias("z"))
     blocks = blocks.withColumn("_u", F.explode(F.sequence(stretch(F.col("at")), stretch(F.col("z") - 1))))
     met = F.col("p").eqNullSafe(F.col("_p")) & (F.col("u") == F.col("_u"))
     blocks = blocks.join(needs, met & (F.col("u") == F.greatest("t", stretch(F.col("at")))))  # a block and a bunch share several stretches
+    # payloads come by chunk, as they lie, once it is known which are needed
+    blocks = stored.select("path", "chunk_no", "payload").join(blocks.drop("u", "_u"), F.col("path").eqNullSafe(F.col("_p")) & (F.col("chunk_no") == F.col("_n")))
     spot, none = ["p", "w", "c", "s"], F.lit(None)
     want = le_value(F.expr("substring(payload, 1, 4)"), 4) if verify else none
 
